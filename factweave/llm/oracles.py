@@ -36,9 +36,9 @@ p AS (SELECT a.doc_id, a.i, b.i - a.i AS lag FROM e a JOIN e b ON a.doc_id = b.d
 runs AS (SELECT doc_id, lag, min(i) AS s, max(i) + 8 AS e FROM (SELECT *, i - row_number() OVER (PARTITION BY doc_id, lag ORDER BY i) AS k FROM p) GROUP BY doc_id, lag, k),
 c AS (SELECT doc_id, max(e - s) AS longest FROM runs GROUP BY doc_id),
 cov AS (SELECT doc_id, count(*) AS n FROM (SELECT DISTINCT doc_id, i + k AS x FROM (SELECT DISTINCT doc_id, i FROM p), range(8) t(k)) GROUP BY doc_id),
-m AS (SELECT d.doc_id, len(w)::BIGINT AS n_words, coalesce(list_sum(list_transform(w, x -> length(x))), 0)::BIGINT AS word_chars,
+m AS (SELECT d.doc_id, len(w)::BIGINT AS n_words, coalesce(list_sum(list_transform(w, lambda x: length(x))), 0)::BIGINT AS word_chars,
   len(regexp_extract_all(text, '[#*$%&|<>]'))::BIGINT AS n_symbols,
-  (len(list_filter(string_split(text, chr(10)), x -> regexp_matches(x, {WORDS}))) - len(list_distinct(list_filter(string_split(text, chr(10)), x -> regexp_matches(x, {WORDS})))))::BIGINT AS n_dup_lines,
+  (len(list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, {WORDS}))) - len(list_distinct(list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, {WORDS})))))::BIGINT AS n_dup_lines,
   coalesce(r.n, 0)::BIGINT AS n_repeat_words, coalesce(cov.n, 0)::BIGINT AS covered_words, coalesce(c.longest, 0)::BIGINT AS longest_repeat
   FROM d LEFT JOIN r USING (doc_id) LEFT JOIN c USING (doc_id) LEFT JOIN cov USING (doc_id))
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, (n_words < 50 OR 100 * n_repeat_words > 50 * n_words) AS base_failed,
