@@ -1,7 +1,8 @@
 """Substring deduplication with a log-structured fingerprint index.
 
 The index is a set of immutable runs. A run holds, by bucket (the top bits of a fingerprint),
-the sorted fingerprints of the word windows of all documents added so far. A new batch of documents
+the sorted fingerprints of the word windows of the documents that it took in, one file for each
+bucket, which the bucket's task reads from where it lies (runs never travel). A new batch of documents
 is split into chunks; each chunk sends, once for each distinct window, a fingerprint to its bucket.
 There the batch is sorted, merge-joined with the runs, and each window that history holds, or that
 a smaller doc_id of the batch holds, is reported back to its chunk. The bucket's new fingerprints
@@ -23,10 +24,14 @@ from __future__ import annotations
 
 import hashlib
 import math
+import re
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.dataset as ds
 import zstandard
+from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -120,13 +125,23 @@ def _in_run(one: np.ndarray, two: np.ndarray, a: np.ndarray, b: np.ndarray) -> n
     return found
 
 
-def _merge(whole: bool):
-    """One bucket: the batch's windows against its own smaller ids and the runs' fingerprints."""
+def _stored(runs: list[str], bucket: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """The bucket's part of each run, read from where it lies."""
+    for run in runs:
+        store, path = fs.FileSystem.from_uri(re.sub(r"^file:/+", "file:///", f"{run}/kind=run/slot={bucket}"))
+        if store.get_file_info(path).type == fs.FileType.Directory:
+            for row in ds.dataset(path, filesystem=store, format="parquet").to_table(columns=["a", "b"]).to_pylist():
+                yield unpack_rising(row["a"], "u8"), unpack(row["b"], "u4")
+
+
+def _merge(stored: list[str], whole: bool):
+    """One bucket: the batch's windows against its own smaller ids and the runs' fingerprints.
+    whole: the bucket's new run takes in the stored ones."""
 
     def run(group):
         rows = group.to_pylist()
         news = [r for r in rows if r["kind"] == "new"]
-        runs = [(unpack_rising(r["a"], "u8"), unpack(r["b"], "u4")) for r in rows if r["kind"] == "run"]
+        runs = list(_stored(stored, rows[0]["bucket"]))
         out = [tuple(r.values()) for r in rows if r["kind"] == "doc"]
         if news:
             one, two, doc = (np.concatenate(x) for x in zip(*map(_windows, news), strict=True))
@@ -214,15 +229,17 @@ class FingerprintIndex:
         packed, at which windows start that a smaller doc_id has."""
         fresh = docs.select("doc_id", "key", "text").mapInArrow(_fingerprints(self.window, self.bits), ROWS)
         whole = len(self.runs) + 1 >= self.fanout
-        rows = fresh
-        for r in self.runs:
-            rows = rows.unionByName(self.spark.read.schema(ROWS).parquet(r).where("kind = 'run'"))
+        if whole:
+            # A bucket without new windows is merged as well.
+            every = self.spark.range(1 << self.bits).select(F.lit("all").alias("kind"), F.col("id").cast("int").alias("bucket"))
+            fresh = fresh.unionByName(every, allowMissingColumns=True)
         out = f"{self.path}/batch-{self.batches:05d}"
-        rows.groupBy("bucket").applyInArrow(_merge(whole), ROWS).write.parquet(out)
+        slot = F.when(F.col("kind") == "run", F.col("bucket")).otherwise(-1)
+        fresh.groupBy("bucket").applyInArrow(_merge(self.runs, whole), ROWS).withColumn("slot", slot).write.partitionBy("kind", "slot").parquet(out)
         stale, self.runs = (self.runs, [out]) if whole else ([], [*self.runs, out])
         flags = f"{self.path}/flags-{self.batches:05d}"
         # Several chunks can hold equal (doc_id, text) rows; which of them speaks makes no difference.
-        self.spark.read.schema(ROWS).parquet(out).where("kind <> 'run'").groupBy("chunk").applyInArrow(_by_document, "id long, key long, windows binary").write.parquet(flags)
+        self.spark.read.schema(f"{ROWS}, slot int").parquet(out).where("kind <> 'run'").groupBy("chunk").applyInArrow(_by_document, "id long, key long, windows binary").write.parquet(flags)
         for s in stale:
             delete(self.spark, s)
         self.batches += 1
