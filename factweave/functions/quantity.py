@@ -33,6 +33,12 @@ def first_of(tests: list[tuple[Column, object]]) -> Column:
     return reduce(lambda chain, t: chain.when(t[0], F.lit(t[1])), tests[1:], F.when(tests[0][0], F.lit(tests[0][1])))
 
 
+def let(value: Column, body) -> Column:
+    """body(value) with value evaluated once, however often the body names it. Plans of long cascades stay
+    small this way; written out, they'd repeat each regular expression in every branch."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def _alone(low: Column, word: str) -> Column:
     return low.rlike(rf"(?<![a-z])\Q{word}\E(?![a-z])")
 
@@ -63,28 +69,29 @@ def parse_unit_hint(hint: Column) -> Column:
 def parse_quantity(raw: Column, unit_hint: Column | None = None) -> Column:
     """struct(value, unit, dimension, raw). Basis points come before percent, percent before currency
     and scale; the first number counts; a hint only fills in what the text doesn't say."""
-    text = stripped(raw)
-    low, sign = F.lower(text), sign_of(F.lower(text))
     points = rf"({NUMBER}){GAP}(?:bps|basis points?)"
     percent = rf"({NUMBER}){GAP}(?:%|(?:per{GAP}cent|percent|percentage{GAP}points?|pp)\b)"
     hint = parse_unit_hint(unit_hint if unit_hint is not None else F.lit(None).cast("string"))
-    number = to_number(F.regexp_extract(low, NUMBER, 0)) * sign
-    own_scale, own_currency = F.coalesce(scale_of(low), F.lit(1.0)), currency_of(low)
-    scale = F.when(own_scale == 1.0, F.coalesce(hint["scale"], F.lit(1.0))).otherwise(own_scale)
-    currency = F.when(number.isNull(), own_currency).otherwise(F.coalesce(own_currency, hint["currency"]))
-
-    def result(value: Column, unit: Column, dimension: Column) -> Column:
-        return F.struct(value.cast("double").alias("value"), unit.cast("string").alias("unit"), dimension.cast("string").alias("dimension"), F.coalesce(text, F.lit("")).alias("raw"))
 
-    ratio = lambda v: result(v, F.lit("percent"), F.lit("ratio"))
-    none = F.lit(None)
-    kind = F.when(currency.isNotNull(), "currency").when(number.isNotNull(), "count")
-    return (
-        F.when(raw.isNull(), result(none, none, none))
-        .when(low.rlike(points), ratio(to_number(F.regexp_extract(low, points, 1)) / 100 * sign))
-        .when(low.rlike(percent), ratio(to_number(F.regexp_extract(low, percent, 1)) * sign))
-        .otherwise(result(number * scale, currency, kind))
-    )
+    def parts(text: Column) -> Column:
+        low = F.lower(text)
+        found = {
+            "text": text, "sign": sign_of(low), "points": F.regexp_extract(low, points, 1), "percent": F.regexp_extract(low, percent, 1),
+            "number": to_number(F.regexp_extract(low, NUMBER, 0)), "currency": currency_of(low), "scale": F.coalesce(scale_of(low), F.lit(1.0)), "hint": hint,
+        }
+        return F.struct(*[c.alias(k) for k, c in found.items()])
+
+    def decide(p: Column) -> Column:
+        number = p["number"] * p["sign"]
+        scale = F.when(p["scale"] == 1.0, F.coalesce(p["hint"]["scale"], F.lit(1.0))).otherwise(p["scale"])
+        currency = F.when(number.isNull(), p["currency"]).otherwise(F.coalesce(p["currency"], p["hint"]["currency"]))
+        is_points, is_ratio = p["points"] != "", (p["points"] != "") | (p["percent"] != "")
+        value = F.when(is_points, to_number(p["points"]) / 100 * p["sign"]).when(is_ratio, to_number(p["percent"]) * p["sign"]).otherwise(number * scale)
+        unit = F.when(is_ratio, "percent").otherwise(currency)
+        kind = F.when(is_ratio, "ratio").when(currency.isNotNull(), "currency").when(number.isNotNull(), "count")
+        return F.struct(value.alias("value"), unit.alias("unit"), kind.alias("dimension"), F.coalesce(p["text"], F.lit("")).alias("raw"))
+
+    return let(let(stripped(raw), parts), decide)
 
 
 def comparability(a: Column, b: Column) -> Column:

@@ -61,7 +61,10 @@ def raw_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def facts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = raw_facts(spark, sf_dir)
+    return parsed(raw_facts(spark, sf_dir))
+
+
+def parsed(d: DataFrame) -> DataFrame:
     d = d.withColumn("claim_key", text.claim_key(F.col("subject"), F.col("predicate"), F.col("qualifiers")))
     d = d.withColumn("q", quantity.parse_quantity(F.col("value_raw"))).withColumn("p", period.parse_period(F.col("period_raw")))
     names = {"value_num": "q.value", "unit": "q.unit", "dimension": "q.dimension", "period_start": "p.start", "period_end": "p.end", "period_kind": "p.kind"}
@@ -69,9 +72,13 @@ def facts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def vector_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Facts with the vector of the same id, in the document named by its label."""
+    """Facts with the vector of the same id, in the document named by its label; every other one is a
+    percentage of a fiscal year, so that some agree."""
     v = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("fact_id"), F.col("label").cast("long").alias("label"), "embedding")
-    return facts(spark, sf_dir).join(v, "fact_id").withColumn("doc_id", F.col("label")).drop("label").withColumn("quote_verified", F.lit(True))
+    k = F.col("fact_id")
+    raw = raw_facts(spark, sf_dir)
+    raw = raw.withColumns({"value_raw": F.when(k % 2 == 0, F.concat((k % 3).cast("string"), F.lit(".5%"))).otherwise(F.col("value_raw")), "period_raw": F.when(k % 2 == 0, F.concat(F.lit("FY2"), (k % 5).cast("string"))).otherwise(F.col("period_raw"))})
+    return parsed(raw.join(v, "fact_id")).withColumn("doc_id", F.col("label")).drop("label").withColumn("quote_verified", F.lit(True))
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -189,7 +189,8 @@ VECTORS = """vf AS (SELECT vec_id AS fact_id, label::BIGINT AS doc_id, embedding
 sim AS (SELECT a.fact_id AS a_id, b.fact_id AS b_id, a.doc_id AS a_doc, b.doc_id AS b_doc, list_dot_product(a.e, b.e) AS s FROM vf a JOIN vf b ON {test}),
 cand AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY a_id ORDER BY s DESC, b_id DESC) AS rank FROM sim WHERE s >= 0.25) WHERE rank <= 5)"""
 EARLIER, OTHERS = VECTORS.format(test="b.doc_id < a.doc_id"), VECTORS.format(test="b.doc_id <> a.doc_id")
-REPLAYED = f"""{PARSED}, {EARLIER},
+PARSED_V = PARSED.replace("value_raw AS raw FROM raw_facts)", "value_raw AS raw FROM (SELECT * REPLACE (CASE WHEN fact_id % 2 = 0 THEN (fact_id % 3) || '.5%' ELSE value_raw END AS value_raw, CASE WHEN fact_id % 2 = 0 THEN 'FY2' || (fact_id % 5) ELSE period_raw END AS period_raw) FROM raw_facts))")
+REPLAYED = f"""{PARSED_V}, {EARLIER},
 v AS (SELECT fact_id, start, end_, value, unit, dimension FROM p),
 cls AS (SELECT cand.*, {O.relation('a', 'b')} AS periods, {O.comparable('a', 'b')} AS comparable,
   CASE WHEN a.value IS NOT NULL AND b.value IS NOT NULL AND a.dimension IN ('currency', 'ratio') AND b.dimension IN ('currency', 'ratio') AND {O.relation('a', 'b')} = 'equal' AND {O.agree('a', 'b')} THEN 'corroborates' END AS raw_type
@@ -440,8 +441,9 @@ def q_stream_ingest(spark, d):
     import uuid
 
     home = f"{base.rstrip('/')}/stream-{uuid.uuid4().hex}"
-    f = A.vector_facts(spark, d)
-    for n in range(10):
+    A.vector_facts(spark, d).write.parquet(f"{home}/all")
+    f = spark.read.parquet(f"{home}/all")
+    for n in sorted(r[0] for r in f.select("doc_id").distinct().collect()):
         f.where(F.col("doc_id") == n).coalesce(1).write.mode("append").parquet(f"{home}/in")
     s = Store(spark, f"{home}/store")
 
