@@ -194,14 +194,15 @@ def near_links(prints: DataFrame, max_bits: int = 4) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, max_bits: int = 4, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """(doc_id, f, component_id) for each row of docs: its fingerprint and the smallest doc_id that links reach."""
-    prints = written(docs.select(F.col(doc_id).alias("doc_id"), fingerprint(F.col(text)).alias("f")), "prints")
+    """(doc_id, text_key, f, component_id) for each row of docs: a hash of its text, its fingerprint and the
+    smallest doc_id that links reach."""
+    prints = written(docs.select(F.col(doc_id).alias("doc_id"), F.xxhash64(text).alias("text_key"), fingerprint(F.col(text)).alias("f")), "prints")
     groups = components(near_links(prints.select("f").distinct(), max_bits))
     # Exact copies are reduced to their smallest id before any join.
     roots = prints.groupBy("f").agg(F.min("doc_id").alias("m")).join(groups.withColumnRenamed("node", "f"), "f", "left")
     roots = roots.select("f", "m", F.coalesce("root", "f").alias("root"))
     named = roots.join(roots.groupBy("root").agg(F.min("m").alias("component_id")), "root").select("f", "component_id")
-    return prints.join(named, "f", "left").select("doc_id", "f", "component_id")
+    return prints.join(named, "f", "left").select("doc_id", "text_key", "f", "component_id")
 
 
 def hex_digits(f: Column) -> Column:
@@ -211,9 +212,10 @@ def hex_digits(f: Column) -> Column:
 def one_of_each(docs: DataFrame, max_bits: int = 4, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """The rows of docs of which one stands for each group: that with the smallest doc_id (null last)."""
     groups = near_duplicates(docs, max_bits, doc_id, text)
-    rank = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "f")
+    rank = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_key")
     # Without any doc_id a component has no name; its fingerprints then stand for themselves.
-    keep = groups.groupBy("component_id", F.when(F.col("component_id").isNull(), F.col("f")).alias("own")).agg(F.min(rank).alias("k")).select(F.col("k.doc_id").alias("__id"), F.col("k.f").alias("__f"))
-    marked = docs.withColumn("__f", fingerprint(F.col(text)))
-    kept = marked.alias("d").join(keep.alias("k"), F.col(f"d.{doc_id}").eqNullSafe(F.col("k.__id")) & (F.col("d.__f") == F.col("k.__f")), "left_semi")
-    return kept.dropDuplicates([doc_id, "__f"]).drop("__f")
+    keep = groups.groupBy("component_id", F.when(F.col("component_id").isNull(), F.col("f")).alias("own")).agg(F.min(rank).alias("k")).select(F.col("k.doc_id").alias("__id"), F.col("k.text_key").alias("__k"))
+    # Rows are found again by id and text hash; fingerprints aren't taken twice.
+    marked = docs.withColumn("__key", F.xxhash64(text))
+    kept = marked.alias("d").join(keep.alias("k"), F.col(f"d.{doc_id}").eqNullSafe(F.col("k.__id")) & (F.col("d.__key") == F.col("k.__k")), "left_semi")
+    return kept.dropDuplicates([doc_id, "__key"]).drop("__key")
