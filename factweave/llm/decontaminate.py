@@ -207,12 +207,13 @@ def _rows(texts, found) -> pa.Array:
 
 
 def _searched(phrases):
+    # Called nondeterministic so that a filter on the result doesn't make Spark search twice.
     @F.arrow_udf(HITS)
     def searched(col: pa.Array) -> pa.Array:
         texts = col.cast(pa.binary()).to_pylist()
         return _rows(texts, (search_shard(part, phrases.value) for _, part in text_chunks(texts, SHARD)))
 
-    return searched
+    return searched.asNondeterministic()
 
 
 @F.arrow_udf(HITS)
