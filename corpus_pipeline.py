@@ -10,24 +10,27 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from factweave.llm import decontaminate, mixing, quality, sharding, simhash
-from factweave.llm.shared import written
+from factweave.llm.shared import bounded_batches, written
 
 SHARDS = 24
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the rules keep."""
+    bounded_batches(spark)
     marked = docs.withColumn("__m", quality.quality_measures(F.col("text")))
     return marked.where(quality.verdict(F.col("__m"))[1]).select(*docs.columns)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near-duplicates."""
+    bounded_batches(spark)
     return simhash.one_of_each(docs).select(*docs.columns)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Contaminated documents go; hit passages are cut out of the others."""
+    bounded_batches(spark)
     items = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
     found = decontaminate.benchmark_hits(docs, items, into="__hits").where(~decontaminate.contaminated(F.col("__hits")))
     cut = F.size("__hits.spans") > 0
