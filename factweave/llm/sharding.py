@@ -43,22 +43,37 @@ def _offsets(rows: DataFrame, group: list[str], block: str) -> DataFrame:
 
 
 def interleave(docs: DataFrame, shards: int, seed: str = SEED, source: str = "source", doc_id: str = "doc_id") -> DataFrame:
-    """docs with columns shard (int) and slot (long). Same-named input columns are replaced."""
-    rows = docs.drop("shard", "slot").withColumn("__src", F.col(source).cast("string")).withColumn("__h", shuffle_key(seed, F.col(doc_id)))
+    """docs with columns shard (int) and slot (long). Same-named input columns are replaced.
+
+    Ranks are taken over ids and sources alone; whole rows are shuffled once, to meet their places by a hash
+    of the row. Rows that are equal throughout share a hash and take its places in turn."""
+    base = docs.drop("shard", "slot")
+    key = F.xxhash64(*[F.col(f"`{c}`") for c, kind in base.dtypes if not kind.startswith(("map", "variant"))])
+    marked = base.withColumn("__key", key)
+    places = _places(marked.select("__key", F.col(doc_id).alias("__id"), F.col(source).cast("string").alias("__src")), shards, seed)
+    places = places.groupBy("__key").agg(F.sort_array(F.collect_list(F.struct("shard", "slot"))).alias("__places"))
+    numbered = marked.withColumn("__n", F.row_number().over(Window.partitionBy("__key").orderBy("__key")))
+    out = numbered.join(places, "__key").withColumn("__place", F.element_at("__places", F.col("__n")))
+    return out.withColumns({"shard": F.col("__place.shard"), "slot": F.col("__place.slot")}).drop("__key", "__n", "__places", "__place")
+
+
+def _places(rows: DataFrame, shards: int, seed: str) -> DataFrame:
+    """(__key, shard, slot) of rows (__key, __id, __src)."""
+    rows = rows.withColumn("__h", shuffle_key(seed, F.col("__id")))
     sizes = rows.groupBy("__src").agg(F.count("*").alias("__n")).select(F.col("__src").alias("__src_n"), "__n", F.sum("__n").over(Window.partitionBy()).alias("__all"))
     rows = rows.join(sizes, F.col("__src").eqNullSafe(F.col("__src_n"))).drop("__src_n")
     rows = rows.withColumn("__block", F.floor(F.col("__h") * F.ceil(F.col("__n") / BLOCK) / SPACE))
     rows = _offsets(rows, ["__src"], "__block")
-    rank = F.col("__before") + F.row_number().over(Window.partitionBy("__src", "__block").orderBy("__h", doc_id))
+    rank = F.col("__before") + F.row_number().over(Window.partitionBy("__src", "__block").orderBy("__h", "__id", "__key"))
     rows = rows.withColumn("__frac", (rank - 0.5) / F.col("__n")).drop("__before", "__block", "__n")
     rows = rows.withColumn("__part", F.floor(F.col("__frac") * F.ceil(F.col("__all") / BLOCK)))
     rows = _offsets(rows, [], "__part")
-    place = F.col("__before") + F.row_number().over(Window.partitionBy("__part").orderBy("__frac", F.col("__src").asc_nulls_last(), "__h")) - 1
+    place = F.col("__before") + F.row_number().over(Window.partitionBy("__part").orderBy("__frac", F.col("__src").asc_nulls_last(), "__h", "__key")) - 1
     rows = rows.withColumn("__place", place)
     # Shard k holds the places from ceil(k * all / shards) on.
     rows = rows.withColumn("shard", F.expr(f"cast((__place * {shards}L) div __all as int)"))
     first = F.expr(f"(shard * __all + {shards - 1}L) div {shards}L")
-    return rows.withColumn("slot", (F.col("__place") - first).cast("long")).drop("__src", "__h", "__all", "__frac", "__part", "__before", "__place")
+    return rows.select("__key", "shard", (F.col("__place") - first).cast("long").alias("slot"))
 
 
 def row_size(text: Column) -> Column:
