@@ -25,7 +25,7 @@ from pyspark.sql import types as T
 from .words import NON_ALNUM, U64, Words, covered, per_doc, text_chunks
 
 SHARD = 4 << 20
-BLOCK_BYTES = 16 << 20
+BLOCK_BYTES = 4 << 20
 SAMPLE = 8
 SPANS = T.ArrayType(T.StructType([T.StructField("start", T.LongType()), T.StructField("stop", T.LongType())]))
 HITS = T.StructType([T.StructField("n_words", T.LongType()), T.StructField("n_hit", T.LongType()), T.StructField("spans", SPANS), T.StructField("words", SPANS), T.StructField("items", T.ArrayType(T.StringType()))])
@@ -37,17 +37,21 @@ class Phrases:
     def __init__(self, items: list[tuple[str | None, bytes | None]], window: int):
         w = Words([t for _, t in items], NON_ALNUM, lower=True)
         self.vocabulary, numbers = np.unique(w.hashes(), return_inverse=True)
-        found: dict[tuple, set] = {}
-        for d, (item, _) in enumerate(items):
-            words = numbers[w.first[d] : w.first[d + 1]] + 1
-            for s in range(max(1, len(words) - window + 1)) if len(words) else ():
-                found.setdefault(tuple(words[s : s + window].tolist()), set()).add(item)
-        self.lengths = np.array([len(p) for p in found], np.int64)
-        self.rows = np.zeros((len(found), window), np.int64)
-        for i, p in enumerate(found):
-            self.rows[i, window - len(p) :] = p
-        self.items = [sorted(x for x in names if x is not None) for names in found.values()]
-        self.shortest = int(self.lengths.min()) if len(found) else 0
+        doc = w.docs()
+        counts = w.counts[doc]
+        heads = np.flatnonzero(np.arange(len(w)) - w.first[doc] <= np.maximum(counts - window, 0))
+        missing = window - np.minimum(counts[heads], window)
+        rows = np.zeros((len(heads), window), np.int32)
+        for k in range(window):
+            on = np.flatnonzero(missing <= k)
+            rows[on, k] = numbers[heads[on] + k - missing[on]] + 1
+        self.rows, which = np.unique(rows, axis=0, return_inverse=True)
+        self.lengths = (self.rows > 0).sum(1)
+        names: list[set] = [set() for _ in self.rows]
+        for p, d in zip(which.ravel().tolist(), doc[heads].tolist(), strict=True):
+            names[p].add(items[d][0])
+        self.items = [tuple(sorted(x for x in own if x is not None)) for own in names]
+        self.shortest = int(self.lengths.min()) if len(heads) else 0
 
 
 def suffix_array(ranks: np.ndarray) -> np.ndarray:
