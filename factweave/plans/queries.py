@@ -115,14 +115,14 @@ def q_values_compared(spark, d):
     return s.select("i", "j", quantity.comparability(F.col("a"), F.col("b")).alias("why"), quantity.values_agree(F.col("a"), F.col("b")).alias("agree"))
 
 
-@query(f"{SAMPLES_P} SELECT id, start, end_, kind FROM p")
+@query(f"{SAMPLES_P} SELECT id, start::VARCHAR AS start, end_::VARCHAR AS end_, kind FROM p")
 def q_period_samples(spark, d):
-    return A.period_samples(spark).select("id", period.parse_period(F.col("raw"), F.col("convention")).alias("p")).select("id", "p.start", F.col("p.end").alias("end_"), "p.kind")
+    return A.period_samples(spark).select("id", period.parse_period(F.col("raw"), F.col("convention")).alias("p")).select("id", F.col("p.start").cast("string").alias("start"), F.col("p.end").cast("string").alias("end_"), "p.kind")
 
 
-@query(f"{PARSED} SELECT fact_id, start, end_, kind FROM p")
+@query(f"{PARSED} SELECT fact_id, start::VARCHAR AS start, end_::VARCHAR AS end_, kind FROM p")
 def q_parse_period(spark, d):
-    return A.facts(spark, d).select("fact_id", F.col("period_start").alias("start"), F.col("period_end").alias("end_"), F.col("period_kind").alias("kind"))
+    return A.facts(spark, d).select("fact_id", F.col("period_start").cast("string").alias("start"), F.col("period_end").cast("string").alias("end_"), F.col("period_kind").alias("kind"))
 
 
 @query(f"{SAMPLES_P} SELECT a.id AS i, b.id AS j, {O.relation('a', 'b')} AS relation FROM p a JOIN p b ON a.id <= b.id")
