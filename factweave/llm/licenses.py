@@ -2,7 +2,7 @@
 
 Texts are cut into blocks (lines; long lines at sentence ends). Blocks with a cue that license wording can't
 do without are candidates. A candidate is compressed alone and with each template as a zstandard raw
-dictionary; templates are ranked by the reduction. The best ones are confirmed by exact wording
+dictionary; the reductions only rank the templates. Each is confirmed by exact wording
 differences: the words that must be put in, taken out or replaced to turn the template into the
 part of the block that it aligns with. A match may differ in max_difference of the template's words.
 
@@ -63,10 +63,10 @@ class Templates:
         self.words = {k: _normal(t) for k, t in templates.items()}
         self.primed = {k: zstandard.ZstdCompressor(compression_params=level, dict_data=zstandard.ZstdCompressionDict(t.encode(), dict_type=zstandard.DICT_TYPE_RAWCONTENT)) for k, t in sorted(templates.items())}
 
-    def ranked(self, block: bytes, least: float) -> list[tuple[float, str]]:
+    def ranked(self, block: bytes) -> list[tuple[float, str]]:
         alone = len(self.plain.compress(block))
         reductions = [(1 - len(c.compress(block)) / alone, k) for k, c in self.primed.items()]
-        return sorted((r for r in reductions if r[0] >= least), key=lambda r: (-r[0], r[1]))
+        return sorted(reductions, key=lambda r: (-r[0], r[1]))
 
     def differences(self, name: str, block: bytes) -> list[str]:
         """Wording differences between the template and the part of the block it aligns with."""
@@ -81,7 +81,7 @@ class Templates:
         return out
 
 
-def scan(text: bytes | None, templates: Templates, least: float, max_difference: float) -> list[dict]:
+def scan(text: bytes | None, templates: Templates, max_difference: float) -> list[dict]:
     found = []
     if not text or not CUES.search(text):
         return found
@@ -89,7 +89,7 @@ def scan(text: bytes | None, templates: Templates, least: float, max_difference:
         if not CUES.search(block):
             continue
         best = None
-        for reduction, name in templates.ranked(block, least):
+        for reduction, name in templates.ranked(block):
             wording = templates.differences(name, block)
             if len(wording) <= 2 * max_difference * len(templates.words[name]) and (best is None or len(wording) < len(best["differences"])):
                 best = {"block": number, "license": name, "reduction": reduction, "differences": wording}
@@ -98,13 +98,13 @@ def scan(text: bytes | None, templates: Templates, least: float, max_difference:
     return found
 
 
-def license_notices(text: Column, templates: dict[str, str] = TEMPLATES, least: float = 0.3, max_difference: float = 0.15) -> Column:
+def license_notices(text: Column, templates: dict[str, str] = TEMPLATES, max_difference: float = 0.15) -> Column:
     """Notices in each text, in order: block number, license, size reduction, differing words."""
     row = pa.list_(pa.struct([("block", pa.int32()), ("license", pa.string()), ("reduction", pa.float64()), ("n_different", pa.int32()), ("differences", pa.string()), ("wording", pa.string())]))
 
     @F.arrow_udf(FOUND)
     def noticed(col: pa.Array) -> pa.Array:
         primed = Templates(templates)
-        return pa.array([scan(t, primed, least, max_difference) for t in col.cast(pa.binary()).to_pylist()], row)
+        return pa.array([scan(t, primed, max_difference) for t in col.cast(pa.binary()).to_pylist()], row)
 
     return noticed(text)

@@ -245,6 +245,15 @@ def test_licenses(spark):
     assert found == [(1, "MIT", 0), (2, "CC-BY-NC-4.0", 0), (3, "GPL-3.0", 2), (7, "Apache-2.0", 0), (7, "Apache-2.0", 0)]
 
 
+def test_licenses_within_other_text():
+    t = licenses.Templates(licenses.TEMPLATES)
+    rng = random.Random(2)
+    for name, notice in licenses.TEMPLATES.items():
+        for n in (0, 40, 160):
+            other = "".join(rng.choices("abcdefghij klmnop qrstuv", k=n)).strip()
+            assert [(f["license"], f["n_different"]) for f in licenses.scan(f"{other} {notice}".encode(), t, 0.15)] == [(name, 0)], (name, n)
+
+
 def test_pipeline(spark, docs):
     import corpus_pipeline as c
 
