@@ -1,20 +1,24 @@
 """License scans by conditional compression.
 
-Texts are cut into blocks (lines; long lines at sentence ends). Blocks with a cue that license wording can't
-do without are candidates. A candidate is compressed alone and with each template as a zstandard raw
-dictionary; the reductions only rank the templates. Each is confirmed by exact wording
-differences: the words that must be put in, taken out or replaced to turn the template into the
-part of the block that it aligns with. A match may differ in max_difference of the template's words.
-
-Edge cases: null and empty texts have no blocks; equal reductions rank by template name; repeated
+The words around each cue that license wording can't do without are held against each template, across
+line ends. A passage is a match if the words that must be put in, taken out or replaced (a replaced
+word counts as two) to turn the template into it are few: max_difference of the template's words. All matches
+that don't overlap a better one are returned. Fewest differences come first; equal ones are ranked by
+compression: a passage is compressed alone and with the template as a zstandard raw dictionary, and the
+template that saves more bytes wins.
+
+Edge cases: null and empty texts have no notices; equal savings rank by template name; repeated
 rows give repeated results; texts of any length are scanned whole.
 """
 
 from __future__ import annotations
 
-import difflib
 import re
+from bisect import bisect_right
+from collections import deque
+from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 import zstandard
 from pyspark.sql import Column
@@ -36,22 +40,25 @@ TEMPLATES = {
 }
 #: Every notice has one of these, in any case.
 CUES = re.compile(rb"licen[cs]|redistribut|permission|public domain|spdx", re.IGNORECASE)
+CUES_TEXT = re.compile(CUES.pattern.decode(), re.IGNORECASE)
+WORD = re.compile(r"[\w.+/&-]*\w")
 BLOCK = 512  # bytes from which lines are cut at sentence ends
 FOUND = "array<struct<block:int,license:string,reduction:double,n_different:int,differences:string,wording:string>>"
 
 
-def blocks(text: bytes) -> list[bytes]:
-    out = []
-    for line in text.split(b"\n"):
-        if len(line) <= BLOCK:
-            out.append(line)
-        else:
-            out += re.split(rb"(?<=[.!?:;])\s+", line)
+def block_starts(text: str) -> list[int]:
+    """Where the numbered blocks begin: lines, and the sentences of long lines."""
+    out, at = [], 0
+    for line in text.split("\n"):
+        out.append(at)
+        if len(line.encode("utf-8", "replace")) > BLOCK:
+            out += [at + m.end() for m in re.finditer(r"(?<=[.!?:;])\s+", line, re.ASCII)]
+        at += len(line) + 1
     return out
 
 
 def _normal(text: str) -> list[str]:
-    return re.findall(r"[\w.+/&-]*\w", text.lower())
+    return WORD.findall(text.lower())
 
 
 class Templates:
@@ -60,46 +67,122 @@ class Templates:
     def __init__(self, templates: dict[str, str]):
         level = zstandard.ZstdCompressionParameters.from_level(9, format=zstandard.FORMAT_ZSTD1_MAGICLESS, write_content_size=False, write_checksum=False, write_dict_id=False)
         self.plain = zstandard.ZstdCompressor(compression_params=level)
-        self.words = {k: _normal(t) for k, t in templates.items()}
-        self.primed = {k: zstandard.ZstdCompressor(compression_params=level, dict_data=zstandard.ZstdCompressionDict(t.encode(), dict_type=zstandard.DICT_TYPE_RAWCONTENT)) for k, t in sorted(templates.items())}
-
-    def ranked(self, block: bytes) -> list[tuple[float, str]]:
-        alone = len(self.plain.compress(block))
-        reductions = [(1 - len(c.compress(block)) / alone, k) for k, c in self.primed.items()]
-        return sorted(reductions, key=lambda r: (-r[0], r[1]))
-
-    def differences(self, name: str, block: bytes) -> list[str]:
-        """Wording differences between the template and the part of the block it aligns with."""
-        a, b = self.words[name], _normal(block.decode("utf-8", "replace"))
-        steps = [s for s in difflib.SequenceMatcher(None, a, b, autojunk=False).get_opcodes() if s[0] != "equal"]
-        out = []
-        for kind, i, j, k, m in steps:
-            if kind == "insert" and i in (0, len(a)):
-                continue  # before or after the notice
-            added = b[k:m] if kind == "insert" or 0 < i < j < len(a) else b[k:m][: j - i]
-            out += [f"-{x}" for x in a[i:j]] + [f"+{x}" for x in added]
-        return out
+        self.words = {k: _normal(t) for k, t in sorted(templates.items())}
+        self.primed = {k: zstandard.ZstdCompressor(compression_params=level, dict_data=zstandard.ZstdCompressionDict(t.encode(), dict_type=zstandard.DICT_TYPE_RAWCONTENT)) for k, t in templates.items()}
+
+    def sizes(self, name: str, passage: bytes) -> tuple[int, int]:
+        """Compressed bytes of the passage alone and with the template."""
+        return len(self.plain.compress(passage)), len(self.primed[name].compress(passage))
+
+
+def regions(text: str, reach: int) -> Iterator[list[tuple[str, int, int]]]:
+    """(word, start, stop) of the words up to reach words away from a cue, in connected runs."""
+    cues = (m.start() for m in CUES_TEXT.finditer(text))
+    cue, held, region, left = next(cues, None), deque(maxlen=reach), None, 0
+    for m in WORD.finditer(text):
+        item = m[0].lower(), m.start(), m.end()
+        met = False
+        while cue is not None and cue < item[2]:
+            cue, met = next(cues, None), True
+        if met:
+            region, left = list(held) if region is None else region, reach + 1
+        if region is None:
+            held.append(item)
+            if cue is None:
+                return
+            continue
+        region.append(item)
+        left -= 1
+        if not left:
+            yield region
+            held.extend(region[-reach:])
+            region = None
+    if region:
+        yield region
+
+
+def endings(a: list[str], b: list[str], most: float) -> Iterator[tuple[int, int, int]]:
+    """(differences, start, stop) of the part of b, ending at each stop, that takes fewest words put in or out of a."""
+    n = len(a)
+    cost, begin = list(range(n + 1)), [0] * (n + 1)
+    for stop, word in enumerate(b, 1):
+        over, over_begin = cost[0], begin[0]
+        begin[0] = stop
+        for i in range(1, n + 1):
+            was, was_begin = cost[i], begin[i]
+            if a[i - 1] == word:
+                c, s = over, over_begin
+            else:
+                c, s = was + 1, was_begin
+                if (d := cost[i - 1] + 1) < c or (d == c and begin[i - 1] > s):
+                    c, s = d, begin[i - 1]
+            cost[i], begin[i] = c, s
+            over, over_begin = was, was_begin
+        if cost[n] <= most and begin[n] < stop:
+            yield cost[n], begin[n], stop
+
+
+def differences(a: list[str], b: list[str]) -> list[str]:
+    """The fewest words to take out (-) and put in (+) to turn a into b, in order."""
+    left = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
+    for i in range(len(a), -1, -1):
+        for j in range(len(b), -1, -1):
+            if i == len(a) or j == len(b):
+                left[i][j] = len(a) - i + len(b) - j
+            else:
+                left[i][j] = left[i + 1][j + 1] if a[i] == b[j] else 1 + min(left[i + 1][j], left[i][j + 1])
+    out, i, j = [], 0, 0
+    while left[i][j]:
+        if i < len(a) and j < len(b) and a[i] == b[j]:
+            i, j = i + 1, j + 1
+        elif i < len(a) and left[i][j] == left[i + 1][j] + 1:
+            out.append(f"-{a[i]}")
+            i += 1
+        else:
+            out.append(f"+{b[j]}")
+            j += 1
+    return out
 
 
 def scan(text: bytes | None, templates: Templates, max_difference: float) -> list[dict]:
-    found = []
     if not text or not CUES.search(text):
-        return found
-    for number, block in enumerate(blocks(text)):
-        if not CUES.search(block):
+        return []
+    text = text.decode("utf-8", "replace")
+    most = {k: int(2 * max_difference * len(a)) for k, a in templates.words.items()}
+    reach = max((len(a) + most[k] for k, a in templates.words.items()), default=1)
+    matches = []
+    for region in regions(text, reach):
+        b = [w for w, _, _ in region]
+        for name, a in templates.words.items():
+            # A match has at least so many words of the template's, among no more words than these.
+            known, wide = set(a), len(a) + most[name]
+            sums = np.concatenate([[0], np.cumsum([w in known for w in b])])
+            if not a or (sums[min(wide, len(b)) :] - sums[: max(len(b) - wide, 0) + 1]).max() < len(a) - most[name]:
+                continue
+            for n, i, j in endings(a, b, most[name]):
+                start, stop = region[i][1], region[j - 1][2]
+                while stop < len(text) and not text[stop].isspace() and not WORD.match(text, stop):
+                    stop += 1  # closing marks
+                alone, primed = templates.sizes(name, text[start:stop].encode("utf-8", "replace"))
+                matches.append((n, primed - alone, name, start, stop, 1 - primed / alone, i, j, b))
+    taken, found = [], []
+    for n, _, name, start, stop, reduction, i, j, b in sorted(matches, key=lambda m: m[:5]):
+        at = bisect_right(taken, (start, stop))
+        if (at and taken[at - 1][1] > start) or (at < len(taken) and taken[at][0] < stop):
             continue
-        best = None
-        for reduction, name in templates.ranked(block):
-            wording = templates.differences(name, block)
-            if len(wording) <= 2 * max_difference * len(templates.words[name]) and (best is None or len(wording) < len(best["differences"])):
-                best = {"block": number, "license": name, "reduction": reduction, "differences": wording}
-        if best:
-            found.append(best | {"n_different": len(best["differences"]), "differences": " ".join(best["differences"]), "wording": block.decode("utf-8", "replace").strip()})
-    return found
+        taken.insert(at, (start, stop))
+        found.append((start, name, n, stop, reduction, differences(templates.words[name], b[i:j])))
+    if not found:
+        return []
+    starts = block_starts(text)
+    return [
+        {"block": bisect_right(starts, start) - 1, "license": name, "reduction": reduction, "n_different": n, "differences": " ".join(words), "wording": text[start:stop]}
+        for start, name, n, stop, reduction, words in sorted(found, key=lambda f: f[:2])
+    ]
 
 
 def license_notices(text: Column, templates: dict[str, str] = TEMPLATES, max_difference: float = 0.15) -> Column:
-    """Notices in each text, in order: block number, license, size reduction, differing words."""
+    """Notices in each text, in order: block it starts in, license, size reduction, differing words, wording."""
     row = pa.list_(pa.struct([("block", pa.int32()), ("license", pa.string()), ("reduction", pa.float64()), ("n_different", pa.int32()), ("differences", pa.string()), ("wording", pa.string())]))
 
     @F.arrow_udf(FOUND)

@@ -1,6 +1,7 @@
 """Corpus operators against brute force on a small table with awkward rows."""
 
 import random
+import textwrap
 import zlib
 
 import brute
@@ -254,6 +255,21 @@ def test_licenses_within_other_text():
             assert [(f["license"], f["n_different"]) for f in licenses.scan(f"{other} {notice}".encode(), t, 0.15)] == [(name, 0)], (name, n)
 
 
+def test_licenses_over_lines_and_several_in_a_line():
+    t = licenses.Templates(licenses.TEMPLATES)
+    names = lambda x: [(f["block"], f["license"], f["n_different"]) for f in licenses.scan(x.encode(), t, 0.15)]
+    gpl = "This program is free software: you can redistribute it and/or modify\n it under the terms of the GNU General Public License as published by\n the Free Software Foundation, either version 3"
+    bsd = licenses.TEMPLATES["BSD-3-Clause"].replace("without ", "without\n# ")
+    assert names(gpl) == [(0, "GPL-3.0-header", 0)]
+    assert names(f"Title\n{bsd}\nmore") == [(1, "BSD-3-Clause", 0)]
+    assert names("Licensed under CC BY 4.0. Released under the MIT License.") == [(0, "CC-BY-4.0", 0), (0, "MIT", 0)]
+    assert names("x " * 400 + "\nReleased under the MIT License. " * 3) == [(i, "MIT", 0) for i in (1, 2, 3)]
+    for width in (20, 40, 72):
+        for name, notice in licenses.TEMPLATES.items():
+            lines = "\n * ".join(textwrap.wrap(f"Some words before it. {notice} And {'after ' * 90}", width))
+            assert [n[1:] for n in names(lines)] == [(name, 0)]
+
+
 def test_pipeline(spark, docs):
     import corpus_pipeline as c
 
