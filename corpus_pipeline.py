@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from factweave.llm import decontaminate, mixing, quality, sharding, simhash
+from factweave.llm import decontaminate, mixing, neardup, quality, sharding
 from factweave.llm.shared import bounded_batches, written
 
 SHARDS = 24
@@ -23,9 +23,9 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates."""
+    """One document of each group of near-duplicates: texts that share 80 % of their five-word shingles."""
     bounded_batches(spark)
-    return simhash.one_of_each(docs).select(*docs.columns)
+    return neardup.one_of_each(docs).select(*docs.columns)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -59,5 +59,5 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     return STAGES[-1][1](spark, docs, sf_dir)
 
 
-#: SimHash needs XXH64, which SQL here doesn't have.
+#: Left out: SQL here doesn't have the hashes of candidates and CRC-32.
 ORACLE_SQL = None

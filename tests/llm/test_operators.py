@@ -8,7 +8,7 @@ import brute
 import pytest
 from pyspark.sql import functions as F
 
-from factweave.llm import decontaminate, hmm, licenses, mixing, quality, sharding, simhash, substrings, urls, warc
+from factweave.llm import decontaminate, hmm, licenses, mixing, neardup, quality, sharding, simhash, substrings, urls, warc
 from factweave.llm.shared import shared_folder
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, size long, n_words long, __x string"
@@ -115,6 +115,38 @@ def test_one_of_each(docs):
     assert sorted((r.doc_id for r in kept.collect()), key=str) == sorted(groups, key=str)
 
 
+def test_near_duplicates_of_the_pipeline(spark, empty):
+    rng = random.Random(9)
+    texts = []
+    for size in (3, 5, 60, 60, 200, 400, 1000):
+        base = rng.choices([f"v{i}" for i in range(500)], k=size)
+        texts.append(" ".join(base))
+        for changes in (0, 1, size // 60, size // 50, size // 45, size // 40, size // 25):
+            copy = list(base)
+            for i in rng.sample(range(size), min(changes, size)):
+                copy[i] = f"new{rng.random()}"
+            texts.append(" ".join(copy) if changes else "  ".join(copy).upper())
+    texts += [None, "", " \n", None, texts[20], texts[20]]
+    rows_ = [(None if i % 13 == 5 else i, t, "x") for i, t in enumerate(texts)] + [(20, texts[20], "x")]
+    rng.shuffle(rows_)
+    sets = [(lambda w: {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set())(brute.words(brute.lower(t))) for _, t, _ in rows_]
+    root = list(range(len(rows_)))
+    pairs = [(i, j) for i in range(len(sets)) for j in range(i) if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])]
+    for i, j in pairs:
+        root = [root[j] if r == root[i] else r for r in root]
+    least = {}
+    for (d, t, _), r in zip(rows_, root, strict=True):
+        least[r] = min(least.get(r, (True, 0)), (d is None, d or 0))
+    d = spark.createDataFrame(rows_, "doc_id long, text string, z string").repartition(3)
+    kept = neardup.one_of_each(d)
+    assert kept.columns == d.columns
+    assert sorted((r.doc_id is None, r.doc_id or 0) for r in kept.collect()) == sorted(least.values())
+    # Copies that fingerprints at 4 bits don't link, as the stage did before.
+    bits = {r.doc_id: int(r.h, 16) for r in d.select("doc_id", simhash.hex_digits(simhash.fingerprint(F.col("text"))).alias("h")).collect()}
+    assert any((bits[rows_[i][0]] ^ bits[rows_[j][0]]).bit_count() > 4 for i, j in pairs)
+    assert neardup.one_of_each(empty).count() == 0
+
+
 def test_postings_split_like_whole():
     import numpy as np
 
