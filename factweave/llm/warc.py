@@ -31,7 +31,6 @@ from pyspark.sql import types as T
 
 MAGIC = b"\x1f\x8b\x08"
 EMPTY_MEMBER = bytes.fromhex("1f8b08000000000000ff03000000000000000000")
-HEADER_BYTES = 1 << 16  # a member must decode to a WARC header within so many bytes
 READ = 1 << 20
 RECORD = "file string, offset long, record_id string, record_type string, target_uri string, refers_to string, payload_digest string, payload_bytes long, payload binary"
 
@@ -104,15 +103,25 @@ class _Member:
         return True
 
     def head(self) -> bytes | None:
-        """The WARC header, or None if this isn't a record."""
+        """The WARC header, of any length, or None if this isn't a record."""
+        end, seen, size = -1, 0, 4096
         try:
-            while len(self.data) < HEADER_BYTES and b"\r\n\r\n" not in self.data and self.more(4096):
-                if len(self.data) >= 5 and not self.data.startswith(b"WARC/"):
+            while (end := self.data.find(b"\r\n\r\n", max(0, seen - 3))) < 0:
+                seen = len(self.data)
+                if not self.more(size):
+                    break
+                if self.data[:5] != b"WARC/"[: len(self.data)]:
                     return None
-        except zlib.error:
+                size = min(2 * size, READ)
+        except zlib.error as e:
+            if self.data.startswith(b"WARC/"):
+                raise ValueError(f"damaged WARC member at byte {self.start}") from e
+            return None
+        if not self.data.startswith(b"WARC/"):
             return None
-        end = self.data.find(b"\r\n\r\n")
-        return self.data[:end] if end >= 0 and self.data.startswith(b"WARC/") else None
+        if end < 0:
+            raise ValueError(f"WARC member without header end at byte {self.start}")
+        return self.data[:end]
 
 
 def scan_range(file, start: int, stop: int) -> Iterator[tuple[int, dict[str, str], bytes]]:

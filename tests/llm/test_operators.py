@@ -236,6 +236,22 @@ def test_warc_round_trip(spark):
     assert warc.read_warc(spark, p2).count() == 0
 
 
+def test_warc_long_headers():
+    import gzip
+    import io
+
+    rng = random.Random(4)
+    urls_ = ["http://a/" + "".join(chr(rng.randrange(0x21, 0x7F)) for _ in range(75000)), "http://a/" + "".join(chr(rng.randrange(0x4E00, 0x9FFF)) for _ in range(9000)), "http://b/"]
+    members = [warc._record(str(i), u, "d", 4, b"body", None) for i, u in enumerate(urls_)]
+    data = b"".join(m + warc.EMPTY_MEMBER for m in members)
+    out = list(warc.scan_range(io.BytesIO(data), 0, len(data)))
+    assert [(h["warc-record-id"], b) for _, h, b in out] == [(f"<urn:page:{i}>", b"body") for i in range(3)]
+    assert [h["warc-target-uri"] for _, h, _ in out] == [warc.quote(u, safe="%:/?#[]@!$&()*+,;=-._~'") for u in urls_]
+    endless = gzip.compress(b"WARC/1.1\r\nWARC-Type: response\r\n")
+    with pytest.raises(ValueError, match="without header end"):
+        list(warc.scan_range(io.BytesIO(endless), 0, len(endless)))
+
+
 def test_hmm(docs, empty):
     out = sorted((tuple(r) for r in hmm.score_texts(docs, rounds=2).collect()), key=lambda r: key(r[:5]))
     expected = sorted(brute.op5_base(DOCS), key=lambda r: key(r[:5]))
