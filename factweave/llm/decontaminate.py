@@ -18,6 +18,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -36,7 +37,7 @@ class Phrases:
 
     def __init__(self, items: list[tuple[str | None, bytes | None]], window: int):
         w = Words([t for _, t in items], NON_ALNUM, lower=True)
-        self.vocabulary, numbers = np.unique(w.hashes(), return_inverse=True)
+        numbers, self.vocabulary = w.numbered()
         doc = w.docs()
         counts = w.counts[doc]
         heads = np.flatnonzero(np.arange(len(w)) - w.first[doc] <= np.maximum(counts - window, 0))
@@ -137,9 +138,10 @@ def search_shard(texts: list[bytes | None], phrases: Phrases) -> tuple[Words, np
     hit, items = np.zeros(len(w), bool), [[] for _ in texts]
     if not len(w) or not phrases.shortest:
         return w, hit, items
-    h, doc = w.hashes(), w.docs()
-    slot = np.minimum(np.searchsorted(phrases.vocabulary, h), len(phrases.vocabulary) - 1)
-    numbers = np.where(phrases.vocabulary[slot] == h, slot + 1, 0)
+    doc = w.docs()
+    own, words = w.numbered()
+    # Words are looked up by their bytes; 0 is a word that no phrase has.
+    numbers = (pc.index_in(words, value_set=phrases.vocabulary).fill_null(-1).to_numpy().astype(np.int64) + 1)[own]
     known = numbers > 0
     # Stretches of known words inside one document.
     fresh = np.concatenate([[True], ~known[:-1] | (doc[1:] != doc[:-1])]) & known

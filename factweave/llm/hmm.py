@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 
 from .shared import written
 from .substrings import pack, pack_rising, unpack, unpack_rising
-from .words import SPACES, U64, Words, chunked
+from .words import SPACES, U64, Words, chunked, word_hashes
 
 TOP, RARE, STATES, WINDOW = 2048, 1024, 8, 64
 END = TOP + RARE
@@ -45,7 +45,9 @@ def coded(docs: list[tuple]) -> dict:
     """One chunk of (doc_id, held, text)."""
     w = Words([r[2] for r in docs], SPACES, lower=True)
     held = np.array([r[1] for r in docs], bool)
-    words, local = np.unique(w.hashes(), return_inverse=True)
+    numbers, distinct = w.numbered()
+    words, place = np.unique(word_hashes(distinct.to_pylist())[:, 0], return_inverse=True)
+    local = place[numbers]
     last, second = w.bytes[w.ends - 1].astype(np.int64), w.bytes[np.maximum(w.ends - 2, 0)].astype(np.int64)
     second[w.ends - w.starts < 2] = 0
     classes = np.zeros(len(words), np.uint16)

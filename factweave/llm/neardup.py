@@ -39,7 +39,7 @@ BASE_KEY = U64(0x5851F42D4C957F2D)
 def shingles(texts: list[bytes | None], n: int = SHINGLE) -> tuple[np.ndarray, np.ndarray]:
     """Distinct shingles of all texts, those of text i at first[i] .. first[i + 1] - 1, in rising order."""
     w = Words(texts, SPACES, lower=True)
-    hashes = w.hashes()
+    hashes, _ = w.hashes()
     at, grams = w.grams(hashes, n, FACTOR)
     doc = w.docs()[at] if len(w) else at
     short = np.flatnonzero((w.counts > 0) & (w.counts < n))

@@ -5,10 +5,17 @@ neighbours in that order give, for each position, the longest repeated substring
 there. The union of those spans is the union of all maximal repeated substrings.
 
 Only suffixes whose first ``min_repeat`` words occur elsewhere in their document can start a
-repeat of that length, so the array holds these and no others; that changes no result.
+repeat of that length, so the array holds these and the suffixes ``min_repeat`` words on, which settle their order,
+and no others; that changes no result. Words are compared by their bytes (numbers of the chunk's distinct words).
+
+The limits: repeats of at least 8 words may cover a quarter of a document's words, and the longest may be an
+eighth of them. A document that the base rule keeps can have up to half its words in short repeats, so both
+limits decide cases of their own.
 
 Edge cases: null and empty texts, and texts without words, have all counts 0 and fail the base
-rule (fewer than 50 words). Texts of any length are taken whole. Repeated rows are judged alike.
+rule (fewer than 50 words). Texts of any length are taken whole. Repeated rows are judged alike, each by
+itself; there are no ties to break and no other column of a row is looked at, so extra columns of any name are
+left as they are. An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -37,60 +44,72 @@ def repeated_in_doc(keys: np.ndarray) -> np.ndarray:
     return out
 
 
-def repeats(w: Words, hashes: np.ndarray, min_repeat: int) -> tuple[np.ndarray, np.ndarray]:
+def repeats(w: Words, numbers: np.ndarray, min_repeat: int) -> tuple[np.ndarray, np.ndarray]:
     """For each word, the length of the longest substring of at least min_repeat words that starts
-    there and occurs again in the same document (0: none); and the suffix order's positions."""
+    there and occurs again in the same document (0: none); and the repeating suffixes in order."""
     n, doc = len(w), w.docs()
     longest = np.zeros(n, np.int64)
-    at, grams = w.grams(hashes, min_repeat)
+    at, grams = w.grams(w.local_hashes(), min_repeat)
     with np.errstate(over="ignore"):
         grams = mix(grams + doc[at].astype(U64) * U64(0x9FB21C651E98DF25))
-    live = repeated_in_doc(grams)
-    at, grams = at[live], grams[live]
-    if not len(at):
-        return longest, at
-    # Ranks at depth min_repeat, 2 * min_repeat, ...; a suffix that starts no repeat is alone in its rank.
-    unique = np.arange(n + 1, dtype=np.int64) + n + 1
-    rank = unique.copy()
-    rank[at] = np.unique(grams, return_inverse=True)[1]
-    levels, depth = [(min_repeat, rank)], min_repeat
+    live = at[repeated_in_doc(grams)]
+    if not len(live):
+        return longest, live
+    stop = w.first[1:][doc]
+    # True order of the first min_repeat words, of the repeating suffixes and of those that many words on.
+    ahead = live + min_repeat
+    held = np.union1d(live, ahead[ahead < stop[live]])
+    columns = [np.where(held + k < stop[held], numbers[np.minimum(held + k, n - 1)], -1) for k in range(min_repeat)]
+    order, new = _sorted([doc[held], *columns])
+    # Where nothing is ranked, ranks differ from all others.
+    nothing = -1 - np.arange(n + min_repeat, dtype=np.int64)
+    levels, depth = [], min_repeat
     while True:
-        ahead = np.minimum(at + depth, n)
-        ahead[doc[np.minimum(ahead, n - 1)] != doc[at]] = n
-        second = np.where(ahead == n, unique[at], rank[ahead])  # past the end: equal to nothing
-        order = np.lexsort((second, rank[at]))
-        a, b = rank[at][order], second[order]
-        new = np.concatenate([[True], (a[1:] != a[:-1]) | (b[1:] != b[:-1])])
+        rank = nothing.copy()
+        rank[held[order]] = np.cumsum(new) - 1
+        levels.append((depth, rank))
         if new.all():
             break
-        ranks, rank = np.cumsum(new) - 1, unique.copy()
-        rank[at[order]] = ranks
+        on = held + depth
+        second = np.where(on < stop[held], rank[np.minimum(on, n)], -1)
+        order, new = _sorted([rank[held], second])
         depth *= 2
-        levels.append((depth, rank))
-    suffixes = at[order]
+    is_live = np.zeros(n, bool)
+    is_live[live] = True
+    suffixes = held[order]
+    suffixes = suffixes[is_live[suffixes]]
     left, right = suffixes[:-1], suffixes[1:]
     lcp = np.zeros(len(left), np.int64)
     for depth, rank in reversed(levels):
-        x, y = np.minimum(left + lcp, n), np.minimum(right + lcp, n)
-        lcp += np.where(rank[x] == rank[y], depth, 0)
+        lcp += np.where(rank[np.minimum(left + lcp, n)] == rank[np.minimum(right + lcp, n)], depth, 0)
+    going = lcp > 0
     for _ in range(min_repeat - 1):
         x, y = left + lcp, right + lcp
-        inside = (x < n) & (y < n)
-        x, y = np.minimum(x, n - 1), np.minimum(y, n - 1)
-        step = inside & (lcp > 0) & (doc[x] == doc[left]) & (doc[y] == doc[right]) & (hashes[x] == hashes[y])
-        if not step.any():
-            break
         # A step only counts where all before it matched.
-        lcp += step
+        going = going & (x < stop[left]) & (y < stop[right])
+        going = going & (numbers[np.minimum(x, n - 1)] == numbers[np.minimum(y, n - 1)])
+        if not going.any():
+            break
+        lcp += going
     longest[left] = lcp
     longest[right] = np.maximum(longest[right], lcp)
     return longest, suffixes
 
 
+def _sorted(columns: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """The order of rows by their columns, and where in it a row differs from the one before."""
+    order = np.lexsort(columns[::-1])
+    new = np.zeros(len(order), bool)
+    new[:1] = True
+    for c in columns:
+        new[1:] |= np.diff(c[order]) != 0
+    return order, new
+
+
 def measures(texts: list[bytes | None], min_repeat: int) -> np.ndarray:
     """One row of FIELDS for each text."""
     w = Words(texts, SPACES)
-    hashes, n = w.hashes(), len(w)
+    n = len(w)
     heads = w.offsets[:-1]
     body = ~SPACES[w.bytes] & ((w.bytes & 0xC0) != 0x80)
     out = np.zeros((len(texts), len(FIELDS)), np.int64)
@@ -102,11 +121,11 @@ def measures(texts: list[bytes | None], min_repeat: int) -> np.ndarray:
             lines = [x for x in t.split(b"\n") if x.strip()]
             out[i, 3] = len(lines) - len(set(lines))
     if n:
-        at, grams = w.grams(hashes, 3)
+        at, grams = w.grams(w.local_hashes(), 3)
         with np.errstate(over="ignore"):
             again = at[repeated_in_doc(mix(grams + w.docs()[at].astype(U64) * U64(0x9FB21C651E98DF25)))]
         out[:, 4] = per_doc(covered(n, again, again + 3), w.first)
-        longest, _ = repeats(w, hashes, min_repeat)
+        longest, _ = repeats(w, w.numbered()[0], min_repeat)
         begin = np.flatnonzero(longest)
         out[:, 5] = per_doc(covered(n, begin, begin + longest[begin]), w.first)
         np.maximum.at(out[:, 6], w.docs()[begin], longest[begin])
@@ -127,7 +146,7 @@ def quality_measures(text: Column, min_repeat: int = 8) -> Column:
     return measured(text)
 
 
-def verdict(m: Column, max_covered: float = 0.5, max_longest: float = 0.3) -> tuple[Column, Column]:
+def verdict(m: Column, max_covered: float = 0.25, max_longest: float = 0.125) -> tuple[Column, Column]:
     """(base_failed, kept) from a struct of measures. Rejected besides base failures: documents of
     which repeats cover more than max_covered, or one repeat is longer than max_longest of the words."""
     n = m["n_words"]

@@ -78,7 +78,7 @@ def _chunk_rows(docs: list[tuple], window: int, bits: int) -> list[tuple]:
     ids = np.array([r[0] for r in docs], np.int64)
     keys = np.array([r[1] for r in docs], np.int64)
     name = hashlib.blake2b(ids.tobytes() + keys.tobytes(), digest_size=12).hexdigest()
-    h = w.hashes()
+    h, h2 = w.hashes()
     at, one = w.grams(h, window)
     if not len(at):
         return []
@@ -91,7 +91,7 @@ def _chunk_rows(docs: list[tuple], window: int, bits: int) -> list[tuple]:
     # Later documents of the chunk already know; only the first document's windows travel.
     known = at[~mine]
     at, one, doc = at[mine], one[mine], doc[mine]
-    two = (gram_values(h, at, window, SECOND) >> U64(32)).astype(np.uint32)
+    two = (gram_values(h2, at, window, SECOND) >> U64(32)).astype(np.uint32)
     bucket = (one >> U64(64 - bits)).astype(np.int64) if bits else np.zeros(len(one), np.int64)
     rows = [("doc", int(name[:8], 16) % (1 << bits), name, len(docs), ids.tobytes(), keys.tobytes(), w.first.astype(np.int64).tobytes(), pack_rising(known.astype(np.uint32)) if len(known) else None)]
     order = np.argsort(bucket, kind="stable")
@@ -115,14 +115,18 @@ def _fingerprints(window: int, bits: int):
     return run
 
 
-def _in_run(one: np.ndarray, two: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Which (one, two) are in the sorted run (a, b)."""
-    found = np.zeros(len(one), bool)
-    low, high = np.searchsorted(a, one), np.searchsorted(a, one, "right")
-    for k in range(int((high - low).max(initial=0))):
-        i = np.minimum(low + k, len(a) - 1)
-        found |= (low + k < high) & (b[i] == two)
-    return found
+def _merge_join(a: np.ndarray, b: np.ndarray, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Which of the batch's distinct (a, b) a run (x, y) holds, both rising by a and x: one walk over the merged keys."""
+    held = np.zeros(len(a), bool)
+    keys, second = np.concatenate([x, a]), np.concatenate([y, b])
+    order = np.argsort(keys, kind="stable")  # merges the two sorted stretches, the run's first among equals
+    keys, second, mine = keys[order], second[order], order >= len(x)
+    lag = 1
+    while len(keys) > lag and (same := keys[lag:] == keys[:-lag]).any():
+        hit = same & mine[lag:] & ~mine[:-lag] & (second[lag:] == second[:-lag])
+        held[order[lag:][hit] - len(x)] = True
+        lag += 1
+    return held
 
 
 def _stored(runs: list[str], bucket: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -155,7 +159,7 @@ def _merge(stored: list[str], whole: bool):
             smallest = np.minimum.reduceat(doc[order], heads)
             old = np.zeros(len(a), bool)
             for x, y in runs:
-                old |= _in_run(a, b, x, y)
+                old |= _merge_join(a, b, x, y)
             group_of = np.cumsum(new) - 1
             flagged = np.empty(len(one), bool)
             flagged[order] = old[group_of] | (doc[order] > smallest[group_of])

@@ -1,8 +1,9 @@
-"""Vectorised word splitting and hashing of many UTF-8 texts at once.
+"""Vectorised word splitting and numbering of many UTF-8 texts at once.
 
-Texts are joined into one byte buffer, word edges come from a byte-class table,
-and every word and every n-gram gets a 64-bit fingerprint without a Python loop
-over words. All helpers work on bounded chunks of documents, see ``chunked``.
+Texts are joined into one byte buffer and word edges come from a byte-class table. Words are told apart by
+their bytes: a dictionary of the chunk's distinct words numbers them. Where words of different chunks must
+meet, each distinct word has a 128-bit XXH3 digest of its bytes, whose halves serve as two hashes that don't depend on
+each other. All helpers work on bounded chunks of documents, see ``chunked``.
 """
 
 from __future__ import annotations
@@ -10,6 +11,8 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pyarrow as pa
+import xxhash
 
 #: Bytes that end a word of class [^\x20\x09-\x0D]+ .
 SPACES = np.zeros(256, bool)
@@ -20,11 +23,7 @@ NON_ALNUM[[*range(0x30), *range(0x3A, 0x61), *range(0x7B, 0x80)]] = True
 
 LOWER = bytes(b + 32 if 0x41 <= b <= 0x5A else b for b in range(256))
 U64 = np.uint64
-BASE = U64(0x9E3779B97F4A7C15)
-BASE_INV = U64(pow(int(BASE), -1, 1 << 64))
-BYTE_CODES = np.random.default_rng(20240229).integers(1, 1 << 63, 256, dtype=np.int64).astype(U64)
-HASH_BLOCK = 1 << 20  # bytes hashed at a time
-_powers: dict[str, np.ndarray] = {}
+WORD_SEED = 20240229
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -34,15 +33,6 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> U64(31))
 
 
-def _power(kind: str, n: int) -> np.ndarray:
-    have = _powers.get(kind)
-    if have is None or len(have) < n:
-        base = np.full(max(n, HASH_BLOCK + 4096), BASE if kind == "up" else BASE_INV, U64)
-        base[0] = 1
-        _powers[kind] = have = np.cumprod(base)
-    return have[:n]
-
-
 class Words:
     """Words of a chunk of documents: byte edges, and word ranges by document."""
 
@@ -52,8 +42,9 @@ class Words:
         self.bytes = np.frombuffer(self.data, np.uint8)
         sizes = np.fromiter((len(t) + 1 if t else 1 for t in texts), np.int64, len(texts))
         self.offsets = np.concatenate([[0], np.cumsum(sizes)])
+        self._inside, self._numbered = ~ends[self.bytes], None
         inside = np.zeros(len(self.bytes) + 1, np.int8)
-        inside[1:] = ~ends[self.bytes]
+        inside[1:] = self._inside
         edges = np.flatnonzero(np.diff(inside))
         self.starts, self.ends = edges[::2], edges[1::2]
         #: words of document d are first[d] .. first[d + 1] - 1
@@ -67,21 +58,26 @@ class Words:
         """The document of each word."""
         return np.repeat(np.arange(len(self.counts)), self.counts)
 
-    def hashes(self) -> np.ndarray:
-        """A 64-bit fingerprint of each word's bytes."""
-        out = np.empty(len(self), U64)
-        i = 0
+    def numbered(self) -> tuple[np.ndarray, pa.LargeBinaryArray]:
+        """The number of each word among the chunk's distinct words, and these."""
+        if self._numbered is None:
+            body = self.bytes[self._inside]
+            offsets = np.concatenate([[0], np.cumsum(self.ends - self.starts)]).astype(np.int64)
+            words = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(self), [None, pa.py_buffer(offsets), pa.py_buffer(body)])
+            coded = words.dictionary_encode()
+            self._numbered = coded.indices.to_numpy(), coded.dictionary
+        return self._numbered
+
+    def local_hashes(self) -> np.ndarray:
+        """64 bits for each word, equal for equal words of this chunk and for no others."""
         with np.errstate(over="ignore"):
-            while i < len(self):
-                at = self.starts[i]
-                j = max(i + 1, int(np.searchsorted(self.ends, at + HASH_BLOCK)))
-                part = self.bytes[at : self.ends[j - 1]]
-                sums = np.zeros(len(part) + 1, U64)
-                np.cumsum(BYTE_CODES[part] * _power("up", len(part)), out=sums[1:])
-                s, e = self.starts[i:j] - at, self.ends[i:j] - at
-                out[i:j] = mix((sums[e] - sums[s]) * _power("down", len(part) + 1)[s] + (e - s).astype(U64))
-                i = j
-        return out
+            return mix(self.numbered()[0].astype(U64) + U64(1))
+
+    def hashes(self) -> tuple[np.ndarray, np.ndarray]:
+        """Two 64-bit hashes of each word's bytes, the same in every chunk."""
+        numbers, words = self.numbered()
+        both = word_hashes(words.to_pylist())
+        return both[numbers, 0], both[numbers, 1]
 
     def grams(self, hashes: np.ndarray, n: int, factor: int = 0xD6E8FEB86659FD93) -> tuple[np.ndarray, np.ndarray]:
         """Word positions at which n words of one document start, and those n-grams' fingerprints."""
@@ -90,6 +86,12 @@ class Words:
         return at, gram_values(hashes, at, n, factor)
 
 
+def word_hashes(words: list[bytes]) -> np.ndarray:
+    """The digest of each word as a row of two 64-bit numbers."""
+    digest = xxhash.xxh3_128_digest
+    return np.frombuffer(b"".join([digest(w, WORD_SEED) for w in words]), U64).reshape(-1, 2)
+
+
 def gram_values(hashes: np.ndarray, at: np.ndarray, n: int, factor: int) -> np.ndarray:
     value = np.zeros(len(at), U64)
     with np.errstate(over="ignore"):
