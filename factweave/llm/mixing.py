@@ -9,11 +9,14 @@ are summed up in a fixed order, one random offset a source is added, and a docum
 each integer boundary that its interval crosses. Order: hashed blocks of about BLOCK documents,
 by size inside each, so that every stretch of the order holds all sizes and taken sizes come near targets.
 
-Scale: the order's prefix sums come from counts of blocks (one small row each) plus ranks inside
-blocks, so a source with a third of all rows is spread over many tasks.
+Scale: sizes are taken in one pass over the texts. Equal rows are one group with a count (rowkeys), blocks are
+hashed from id and key together, so neither null ids nor a source with a third of all rows, nor a row repeated without
+end, meet in one task; prefix sums come from counts of blocks (one small row each) plus sums inside blocks.
 
 Edge cases: null texts have size 0 and are sampled like others; a null source is a source; a source
-of size 0 has target 0 and none of its documents are taken; an empty table gives no rows.
+of size 0 has target 0 and none of its documents are taken; repeated rows are sampled one by one; rows that share id
+and size are ordered by a hash of their columns, so reruns agree; columns of any names are kept (names beginning with
+__ and one of this module's are replaced); an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -21,6 +24,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from . import rowkeys
+from .shared import written
+
 BLOCK = 4096
 WEIGHTS = (3.0, 1.0, 2.0)
 SEED = "mix-1"
@@ -28,8 +34,7 @@ SEED = "mix-1"
 
 def n_words(text: Column) -> Column:
     """Number of words [^\\x20\\x09-\\x0D]+ of a text."""
-    plain = F.translate(F.coalesce(text, F.lit("")), "\t\n\x0b\x0c\r", "     ")
-    return F.size(F.filter(F.split(plain, " "), lambda w: w != "")).cast("long")
+    return F.coalesce(F.regexp_count(text, F.lit(r"[^\x20\x09-\x0D]+")), F.lit(0)).cast("long")
 
 
 def uniform(*parts: Column | str) -> Column:
@@ -53,24 +58,43 @@ def targets(sources: DataFrame, weights: tuple = WEIGHTS, share: float = 1.5, mo
     return ranked.withColumn("rate", rate).select("source", "n", "source_size", "target", "rate")
 
 
-def expected_copies(docs: DataFrame, weights: tuple = WEIGHTS, share: float = 1.5, most: float = 2.0, seed: str = SEED, doc_id: str = "doc_id", source: str = "source", size: str = "__size") -> DataFrame:
-    """docs with __source_size, __target and __copies (how often each row is taken)."""
-    rows = docs.withColumn("__source", F.col(source).cast("string"))
-    totals = targets(rows.groupBy(F.col("__source").alias("source")).agg(F.count("*").alias("n"), F.sum(size).alias("source_size")), weights, share, most)
-    totals = totals.select(F.col("source").alias("__s"), "n", F.col("source_size").alias("__source_size"), F.col("target").alias("__target"), "rate", F.ceil(F.col("n") / BLOCK).alias("blocks"), uniform(F.lit(seed), F.col("source")).alias("offset"))
-    rows = rows.join(totals, F.col("__source").eqNullSafe(F.col("__s"))).drop("__s")
-    rows = rows.withColumn("__block", F.floor(uniform(F.lit(seed), F.col(doc_id)) * F.col("blocks")))
-    blocks = rows.groupBy("__source", "__block").agg(F.count("*").alias("m"))
-    earlier = Window.partitionBy("__source").orderBy("__block").rowsBetween(Window.unboundedPreceding, -1)
-    blocks = blocks.select(F.col("__source").alias("__s"), F.col("__block").alias("__b"), F.coalesce(F.sum("m").over(earlier), F.lit(0)).alias("before"))
-    rows = rows.withColumn("__rank", F.row_number().over(Window.partitionBy("__source", "__block").orderBy(F.col(size), F.col(doc_id))))
-    rows = rows.join(blocks, F.col("__source").eqNullSafe(F.col("__s")) & (F.col("__block") == F.col("__b"))).drop("__s", "__b")
-    upto = F.col("before") + F.col("__rank")
-    copies = F.floor(upto * F.col("rate") + F.col("offset")) - F.floor((upto - 1) * F.col("rate") + F.col("offset"))
-    return rows.withColumn("__copies", copies.cast("int")).drop("__source", "__block", "__rank", "before", "n", "blocks", "offset", "rate")
-
-
-def mix(docs: DataFrame, text: str = "text", **options) -> DataFrame:
+def sampled(rows: DataFrame, weights: tuple = WEIGHTS, share: float = 1.5, most: float = 2.0, seed: str = SEED) -> DataFrame:
+    """Groups of equal rows (id, source, size, tie columns) with how many they are (n), the places before them in their
+    source (before), and source_size, target, rate and offset of the source."""
+    ties = [c for c in rows.columns if c not in ("id", "source", "size")]
+    groups = written(rows.groupBy(*rows.columns).agg(F.count("*").alias("n")), "mixing-groups")
+    totals = targets(groups.groupBy("source").agg(F.sum("n").alias("n"), F.sum(F.col("size") * F.col("n")).alias("source_size")), weights, share, most)
+    totals = totals.select(F.col("source").alias("s"), F.ceil(F.col("n") / BLOCK).alias("blocks"), "source_size", "target", "rate", uniform(F.lit(seed), F.col("source")).alias("offset"))
+    groups = groups.join(totals, F.col("source").eqNullSafe(F.col("s"))).drop("s")
+    groups = groups.withColumn("block", F.floor(uniform(F.lit(seed), F.col("id"), *map(F.col, ties)) * F.col("blocks"))).drop("blocks")
+    earlier = Window.partitionBy("s").orderBy("b")
+    blocks = groups.groupBy(F.col("source").alias("s"), F.col("block").alias("b")).agg(F.sum("n").alias("m"))
+    blocks = blocks.withColumn("base", F.sum("m").over(earlier) - F.col("m")).drop("m")
+    inside = Window.partitionBy("source", "block").orderBy("size", "id", *ties).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    groups = groups.withColumn("inside", F.sum("n").over(inside) - F.col("n"))
+    groups = groups.join(blocks, F.col("source").eqNullSafe(F.col("s")) & (F.col("block") == F.col("b")))
+    return groups.withColumn("before", F.col("base") + F.col("inside")).drop("s", "b", "block", "base", "inside")
+
+
+def _boundary(place: Column) -> Column:
+    return F.floor(place * F.col("rate") + F.col("offset"))
+
+
+def expected_copies(rows: DataFrame, **options) -> DataFrame:
+    """rows (id, source, size, and columns that tell rows of one id apart) with source_size, target and copies: how
+    often each row is taken."""
+    portions = rowkeys.portions(sampled(rows, **options), "n").repartition("id", "size", "__portion")
+    place = F.col("before") + F.col("__nth")
+    return rowkeys.each(portions, "n").withColumn("copies", (_boundary(place) - _boundary(place - 1)).cast("int")).select(*rows.columns, "source_size", "target", "copies")
+
+
+def mix(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", source: str = "source", **options) -> DataFrame:
     """The mixture: rows of docs, each as often as it is taken."""
-    rows = expected_copies(docs.withColumn("__size", n_words(F.col(text))), **options).where("__copies > 0")
-    return rows.withColumn("__copies", F.explode(F.sequence(F.lit(1), F.col("__copies")))).select(*docs.columns)
+    whole = rowkeys.keyed(docs)
+    rows = whole.select(F.col(doc_id).alias("id"), F.col(source).cast("string").alias("source"), n_words(F.col(text)).alias("size"), *rowkeys.KEY)
+    taken = sampled(rows, **options).select(*rowkeys.KEY, (_boundary(F.col("before") + F.col("n")) - _boundary(F.col("before"))).alias("n")).where("n > 0")
+    # A group of n rows is taken as often as its n intervals cross boundaries; which of the equal rows that are is all one.
+    places = written(rowkeys.portions(taken, "n"), "mixing-places")
+    places = places.withColumn("__times", F.least(F.col("n") - F.col("__first"), F.lit(rowkeys.PORTION).cast("long"))).select(*rowkeys.KEY, "__portion", "__times")
+    rows = rowkeys.given_rows(whole, places)
+    return rows.withColumn("__times", F.explode(F.sequence(F.lit(1).cast("long"), "__times"))).select(*[F.col(f"`{c}`") for c in docs.columns])

@@ -13,16 +13,16 @@ def _fraction(*parts: str) -> str:
 
 
 MIXING = f"""
-WITH d AS (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), {WORDS}))::BIGINT AS size FROM documents),
+WITH d AS (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), {WORDS}))::BIGINT AS size, md5(coalesce(text, '')) AS m FROM documents),
 s AS (SELECT source, count(*) AS n, sum(size)::BIGINT AS source_size FROM d GROUP BY source),
 w AS (SELECT *, [3.0, 1.0, 2.0][((row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1)::INT]::DOUBLE AS weight FROM s),
 o AS (SELECT *, (1.5::DOUBLE * sum(source_size) OVER () - 2.0::DOUBLE * coalesce(sum(source_size) OVER (ORDER BY source_size / weight, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))
   / sum(weight) OVER (ORDER BY source_size / weight, source NULLS LAST ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS own FROM w),
 t AS (SELECT source, n, source_size, coalesce(least(2.0::DOUBLE * source_size, weight * max(own) FILTER (own * weight < 2.0::DOUBLE * source_size) OVER ()), 2.0::DOUBLE * source_size)::DOUBLE AS target,
   {_fraction("'mix-1'", "coalesce(source, chr(0))")} AS u FROM o),
-r AS (SELECT doc_id, size, d.source, source_size, target, u, CASE WHEN source_size > 0 THEN target / source_size ELSE 0 END AS rate,
-  floor({_fraction("'mix-1'", "coalesce(doc_id::VARCHAR, chr(0))")} * ceil(n / 4096.0::DOUBLE)) AS b FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source),
-k AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY b, size, doc_id NULLS FIRST)::DOUBLE AS k FROM r)
+r AS (SELECT doc_id, size, m, d.source, source_size, target, u, CASE WHEN source_size > 0 THEN target / source_size ELSE 0 END AS rate,
+  floor({_fraction("'mix-1'", "coalesce(doc_id::VARCHAR, chr(0))", "m")} * ceil(n / 4096.0::DOUBLE)) AS b FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source),
+k AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY b, size, doc_id NULLS FIRST, m)::DOUBLE AS k FROM r)
 SELECT doc_id, size, source_size, target, ((floor(k * rate + u) - floor((k - 1) * rate + u)) * size)::BIGINT AS taken FROM k
 """
 
@@ -42,7 +42,7 @@ m AS (SELECT d.doc_id, len(w)::BIGINT AS n_words, coalesce(list_sum(list_transfo
   coalesce(r.n, 0)::BIGINT AS n_repeat_words, coalesce(cov.n, 0)::BIGINT AS covered_words, coalesce(c.longest, 0)::BIGINT AS longest_repeat
   FROM d LEFT JOIN r USING (doc_id) LEFT JOIN c USING (doc_id) LEFT JOIN cov USING (doc_id))
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, (n_words < 50 OR 100 * n_repeat_words > 50 * n_words) AS base_failed,
-  (NOT (n_words < 50 OR 100 * n_repeat_words > 50 * n_words) AND covered_words <= 0.5 * n_words AND longest_repeat <= 0.3 * n_words) AS kept, covered_words, longest_repeat FROM m
+  (NOT (n_words < 50 OR 100 * n_repeat_words > 50 * n_words) AND covered_words <= 0.25 * n_words AND longest_repeat <= 0.125 * n_words) AS kept, covered_words, longest_repeat FROM m
 """
 
 URLS = f"""

@@ -32,9 +32,9 @@ def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = _table(spark, sf_dir, "documents").select("doc_id", "source", mixing.n_words(F.col("text")).alias("size"))
-    rows = mixing.expected_copies(docs, size="size")
-    return rows.select("doc_id", "size", F.col("__source_size").alias("source_size"), F.col("__target").alias("target"), (F.col("__copies") * F.col("size")).cast("long").alias("taken"))
+    docs = _table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "source", mixing.n_words(F.col("text")).alias("size"), F.md5(F.coalesce("text", F.lit(""))).alias("text_md5"))
+    rows = mixing.expected_copies(docs)
+    return rows.select(F.col("id").alias("doc_id"), "size", "source_size", "target", (F.col("copies") * F.col("size")).cast("long").alias("taken"))
 
 
 def op5_hmm(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -110,7 +110,7 @@ def op6(docs, m=8):
                     longest = max(longest, best)
         n = len(w)
         failed = n < 50 or 100 * len(repeat) > 50 * n
-        kept = not failed and len(cover) <= 0.5 * n and longest <= 0.3 * n
+        kept = not failed and len(cover) <= 0.25 * n and longest <= 0.125 * n
         out.append((d, n, sum(map(len, w)), len(re.findall(r"[#*$%&|<>]", t or "")), len(lines) - len(set(lines)), len(repeat), failed, kept, len(cover), longest))
     return out
 

@@ -1,14 +1,16 @@
 """Corpus operators against brute force on a small table with awkward rows."""
 
+import hashlib
 import random
 import textwrap
 import zlib
+from math import floor
 
 import brute
 import pytest
 from pyspark.sql import functions as F
 
-from factweave.llm import decontaminate, hmm, licenses, mixing, neardup, quality, sharding, simhash, substrings, urls, warc
+from factweave.llm import decontaminate, hmm, licenses, mixing, neardup, quality, rowkeys, sharding, simhash, substrings, urls, warc
 from factweave.llm.shared import shared_folder
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, size long, n_words long, __x string"
@@ -168,39 +170,101 @@ def test_postings_split_like_whole():
     assert len(set(parts(16))) < len(f)
 
 
-def test_mixing(docs, empty, spark):
-    rows_ = mixing.expected_copies(docs.withColumn("__size", mixing.n_words(F.col("text"))))
-    out = rows_.select("source", "__size", "__source_size", "__target", "__copies").collect()
+def slim(d):
+    return d.select(F.col("doc_id").alias("id"), "source", mixing.n_words(F.col("text")).alias("size"), F.md5(F.coalesce("text", F.lit(""))).alias("m"))
+
+
+def brute_mix(groups, blocks_of):
+    """Copies of each row from Spark's targets, rates and blocks: a plain walk over the order."""
+    taken = {}
+    for source in {g.source for g in groups}:
+        place = 0
+        for g in sorted((g for g in groups if g.source == source), key=lambda g: (blocks_of[g], g.size, g.id is not None, g.id or 0, g.m)):
+            assert g.before == place
+            for _ in range(g.n):
+                place += 1
+                step = floor(place * g.rate + g.offset) - floor((place - 1) * g.rate + g.offset)
+                taken.setdefault((g.id, g.source, g.size, g.m), []).append(step)
+    return taken
+
+
+def test_mixing(docs, empty, spark, monkeypatch):
+    monkeypatch.setattr(mixing, "BLOCK", 8)
+    out = mixing.expected_copies(slim(docs)).collect()
     sizes = {}
     for _, t, _, s, *_ in ROWS:
         sizes[s] = sizes.get(s, 0) + len(brute.words(t))
     targets = brute.op4_targets(sizes)
     taken = dict.fromkeys(sizes, 0)
     for r in out:
-        assert abs(r[3] - targets[r.source]) < 1e-6 * max(1, r[3]) and r[2] == sizes[r.source] and 0 <= r[4] <= 2
-        taken[r.source] += r[1] * r[4]
+        assert abs(r.target - targets[r.source]) < 1e-6 * max(1, r.target) and r.source_size == sizes[r.source] and 0 <= r.copies <= 2
+        taken[r.source] += r.size * r.copies
     assert len(out) == len(ROWS)
     assert abs(taken["b"] - targets["b"]) <= max(200, 0.3 * targets["b"])
-    assert mixing.mix(docs).columns == docs.columns
-    assert sorted(got(mixing.mix(docs.repartition(5))), key=key) == got(mixing.mix(docs))
-    assert mixing.mix(empty).count() == 0
+    groups = mixing.sampled(slim(docs)).collect()
+    n = {}
+    for g in groups:
+        n[g.source] = n.get(g.source, 0) + g.n
+    block = lambda g: int(int(hashlib.md5("|".join(["mix-1", "\0" if g.id is None else str(g.id), g.m]).encode()).hexdigest()[:8], 16) / 2**32 * -(-n[g.source] // 8))
+    plain = brute_mix(groups, {g: block(g) for g in groups})
+    spark_ = {}
+    for r in out:
+        spark_.setdefault((r.id, r.source, r.size, r.m), []).append(r.copies)
+    assert {k: sorted(v) for k, v in spark_.items()} == {k: sorted(v) for k, v in plain.items()}
     blank = spark.createDataFrame([(1, None, "s")], "doc_id long, text string, source string")
     assert mixing.mix(blank).count() == 0
 
 
-def test_sharding(docs, empty):
-    out = sharding.interleave(docs.select("doc_id", "source", sharding.text_crc32(F.col("text")).alias("c"), sharding.row_size(F.col("text")).alias("b"), F.lit(9).alias("shard")), 7).collect()
+def test_mixture_of_rows(docs, empty, spark):
+    mixed = mixing.mix(docs)
+    assert mixed.columns == docs.columns
+    assert sorted(got(mixing.mix(docs.repartition(5))), key=key) == got(mixed)
+    assert set(got(mixed)) <= set(got(docs)) and mixing.mix(empty).count() == 0
+    clash = docs.withColumns({c: F.lit(1) for c in ("n", "rate", "offset", "blocks", "before", "block", "id", "target", "copies", "s", "b")})
+    assert got(mixing.mix(clash).select("doc_id")) != [] and mixing.mix(clash).columns == clash.columns
+    words = sum(len(brute.words(t)) for _, t in DOCS)
+    taken = mixed.select(F.sum(mixing.n_words(F.col("text")))).first()[0]
+    assert abs(taken - 1.5 * words) < 0.2 * words
+
+
+def test_rows_repeated_without_end(spark, monkeypatch):
+    """A row repeated 20,000 times and 3,000 null ids: as many rows come out as went in, dealt in portions."""
+    monkeypatch.setattr(rowkeys, "PORTION", 512)
+    d = spark.range(23000).select(F.when(F.col("id") < 20000, 7).cast("long").alias("doc_id"), F.when(F.col("id") < 20000, "same words here").otherwise(F.concat_ws(" ", F.lit("words"), F.col("id"))).alias("text"), F.lit("s").alias("source"))
+    out = sharding.interleave(d, 24).cache()
+    sizes = [r["count"] for r in out.groupBy("shard").count().collect()]
+    assert sum(sizes) == 23000 and len(sizes) == 24 and max(sizes) - min(sizes) <= 1
+    assert out.select("shard", "slot").distinct().count() == 23000 and out.where("doc_id = 7").count() == 20000
+    keys = rowkeys.keyed(d).select(F.col("doc_id").alias("id"), F.col("source").alias("src"), *rowkeys.KEY)
+    placed = sharding.places(keys, 24)
+    assert placed.groupBy(*rowkeys.KEY, "__portion").count().agg(F.max("count")).first()[0] <= 512
+    groups = mixing.sampled(d.select(F.col("doc_id").alias("id"), "source", mixing.n_words(F.col("text")).alias("size"), F.md5("text").alias("m")))
+    assert groups.where("id is null").count() == 3000
+    # 150 % of 66,000 words, two or three words a row.
+    mixed = mixing.mix(d).groupBy(F.col("doc_id").isNull().alias("none")).count().collect()
+    taken = {r.none: r["count"] for r in mixed}
+    assert abs(taken[False] * 3 + taken[True] * 2 - 99000) < 3000 and 29000 < taken[False] < 31000
+
+
+def test_sharding(docs, empty, monkeypatch):
+    monkeypatch.setattr(sharding, "BLOCK", 8)
+    d = docs.select("doc_id", "source", sharding.text_crc32(F.col("text")).alias("c"), sharding.row_size(F.col("text")).alias("b"), F.lit(9).alias("shard"))
+    out = sharding.interleave(d, 7).collect()
     assert len(out) == len(ROWS)
-    by = {}
-    for r in out:
-        by.setdefault(r["shard"], []).append(r)
-    assert sorted(by) == list(range(7)) and max(map(len, by.values())) - min(map(len, by.values())) <= 1
-    for group in by.values():
-        assert sorted(r.slot for r in group) == list(range(len(group)))
-        n = sum(r.source == "a" for r in group)
-        assert abs(n - sum(r.source == "a" for r in out) / 7) <= 2
     expected = sorted((zlib.crc32((t or "").encode()), len((t or "").encode()) + 8) for _, t in DOCS)
     assert sorted((r.c, r.b) for r in out) == expected
+    # The same order by a plain sort: rows of each source by their seeded hash, then all by fractional rank.
+    rows_ = rowkeys.keyed(d.drop("shard")).withColumn("h", sharding.shuffle_key(sharding.SEED, F.col("doc_id"), *map(F.col, rowkeys.KEY))).collect()
+    ranked = []
+    for s in {r.source for r in rows_}:
+        own = sorted((r for r in rows_ if r.source == s), key=lambda r: (r.h, r.doc_id is not None, r.doc_id or 0, r[rowkeys.KEY[0]], r[rowkeys.KEY[1]]))
+        ranked += [((i + 0.5) / len(own), r.source is None, r.source or "", r.h, r[rowkeys.KEY[0]], r[rowkeys.KEY[1]], r) for i, r in enumerate(own)]
+    ranked.sort(key=lambda x: x[:6])
+    plain = []
+    for k in range(7):
+        cut = ranked[-(-k * len(ranked) // 7) : -(-(k + 1) * len(ranked) // 7)]
+        plain += [(x[-1].doc_id, x[-1].source, x[-1].c, x[-1].b, k, i) for i, x in enumerate(cut)]
+    assert sorted(((r.doc_id, r.source, r.c, r.b, r["shard"], r.slot) for r in out), key=key) == sorted(plain, key=key)
     assert sharding.interleave(empty, 7).count() == 0
 
 
