@@ -9,13 +9,16 @@ The model's size is fixed; the vocabulary's counts are not and never leave the e
 1. Documents are coded once into chunks (local word numbers, distinct words) in the shared folder.
 2. Distinct words of each chunk go to hashed buckets, which add up all training counts and send
    each chunk the counts of its words.
-3. Each Baum-Welch round reads the chunks, runs scaled forward-backward over windows of WINDOW tokens
-   (every training token is in one), and adds up expected counts across partitions.
-4. Scoring runs the scaled forward recursion over whole texts: exact likelihoods, no windows.
-
-Words are told apart by 64-bit fingerprints. Edge cases: a null or empty text is the end token alone;
-a null doc_id is a training row; repeated rows count as often as they occur; with no training rows
-all counts are 0 and scores stay finite; an empty table gives no rows.
+3. Each Baum-Welch round reads the chunks, runs the scaled forward and backward recursions over whole texts and
+   adds up expected counts across partitions. Texts of a chunk go side by side, one step of all of them at a
+   time; forward vectors are kept for PIECE tokens at most and worked out again from the head of their piece, so a text
+   of any length is trained on as one sequence in bounded memory.
+4. Scoring runs the scaled forward recursion over whole texts: exact likelihoods.
+
+Words are told apart by 64-bit hashes of their bytes. Edge cases: a null or empty text is the end token alone;
+a null doc_id is a training row; ids of any type are kept; repeated rows count as often as they occur; equal counts at the
+edge of the commonest words rank by hash; with no training rows all counts are 0 and scores stay finite; an empty
+table gives no rows; other columns aren't looked at.
 """
 
 from __future__ import annotations
@@ -32,12 +35,13 @@ from .shared import written
 from .substrings import pack, pack_rising, unpack, unpack_rising
 from .words import SPACES, U64, Words, chunked, word_hashes
 
-TOP, RARE, STATES, WINDOW = 2048, 1024, 8, 64
+TOP, RARE, STATES = 2048, 1024, 8
 END = TOP + RARE
 SYMBOLS = END + 1
 CHUNK = 6 << 20
+PIECE = 1 << 20  # tokens whose forward vectors are held at once
 BUCKET = 4 << 20
-CODED = "chunk string, ids array<long>, n binary, held binary, local binary, words binary, classes binary, counts binary"
+CODED = "chunk string, ids array<string>, n binary, held binary, local binary, words binary, classes binary, counts binary"
 COUNTED = "kind string, chunk string, bucket int, n long, counts binary, class_n array<long>, class_v array<long>, top array<struct<word:long,count:long>>"
 
 
@@ -71,7 +75,7 @@ def _code(batches):
     for docs in chunked(rows(), lambda r: len(r[2] or b"") + 1, CHUNK):
         row = coded(docs) | {"chunk": f"{part}-{k}"}
         k += 1
-        yield pa.RecordBatch.from_pylist([row], pa.schema([("chunk", pa.string()), ("ids", pa.list_(pa.int64())), *((c, pa.binary()) for c in ("n", "held", "local", "words", "classes", "counts"))]))
+        yield pa.RecordBatch.from_pylist([row], pa.schema([("chunk", pa.string()), ("ids", pa.list_(pa.string())), *((c, pa.binary()) for c in ("n", "held", "local", "words", "classes", "counts"))]))
 
 
 def _by_bucket(bits: int):
@@ -105,7 +109,7 @@ def _count(group: pa.Table) -> pa.Table:
         out.append({"kind": "reply", "chunk": r["chunk"], "bucket": r["bucket"], "n": len(p), "counts": pack(total[where[at : at + len(p)]].astype(np.uint64))})
         at += len(p)
     seen = total > 0
-    most = np.lexsort((words, -total))[:TOP]
+    most = np.lexsort((words.view(np.int64), -total))[:TOP]  # ties in the same order as among buckets
     top = [{"word": int(w), "count": int(c)} for w, c in zip(words[most].view(np.int64), total[most], strict=True) if c]
     out.append({"kind": "sums", "n": int(total.sum()), "class_n": np.bincount(classes, total, RARE).astype(np.int64).tolist(), "class_v": np.bincount(classes[seen], minlength=RARE).tolist(), "top": top})
     return pa.Table.from_pylist(out, _COUNTED)
@@ -123,7 +127,6 @@ class Model:
     distinct: int
     ends: int
     start: np.ndarray
-    middle: np.ndarray  # state distribution at the head of a later window
     moves: np.ndarray
     emits: np.ndarray  # states x symbols
 
@@ -149,7 +152,7 @@ def first_model(sums: DataFrame, ends: int) -> Model:
     words, counts = np.array([r.word for r in top], np.int64).view(U64), np.array([r["count"] for r in top], np.int64)
     order = np.argsort(words)
     tokens, distinct = int(n.sum()) + ends, int(v.sum()) + (ends > 0)
-    model = Model(words[order], counts[order], n, v, tokens, distinct, ends, np.full(STATES, 1 / STATES), np.full(STATES, 1 / STATES), np.full((STATES, STATES), 0.1 / (STATES - 1)), np.zeros((STATES, SYMBOLS)))
+    model = Model(words[order], counts[order], n, v, tokens, distinct, ends, np.full(STATES, 1 / STATES), np.full((STATES, STATES), 0.1 / (STATES - 1)), np.zeros((STATES, SYMBOLS)))
     np.fill_diagonal(model.moves, 0.9)
     return model
 
@@ -177,43 +180,81 @@ def sequence(row: dict, model: Model) -> tuple[np.ndarray, np.ndarray, np.ndarra
     return out, offsets, own
 
 
+class Steps:
+    """Texts side by side, longest first: the symbols of step 0 of all of them, then of step 1 of those that go on, ..."""
+
+    def __init__(self, symbols: np.ndarray, offsets: np.ndarray):
+        lengths = np.diff(offsets)
+        self.order = np.argsort(-lengths, kind="stable")
+        self.live = len(lengths) - np.cumsum(np.bincount(lengths))[:-1]  # texts longer than t
+        self.starts = np.concatenate([[0], np.cumsum(self.live)])
+        step = np.repeat(np.arange(len(self.live)), self.live)
+        self.text = np.arange(len(step)) - self.starts[step]
+        self.before = self.starts[np.maximum(step - 1, 0)] + self.text  # the same text's place one step earlier
+        self.code = symbols[offsets[:-1][self.order][self.text] + step]
+
+    def pieces(self) -> list[tuple[int, int]]:
+        """Ranges of steps of about PIECE symbols."""
+        cuts, at = [0], 0
+        while at < len(self.live):
+            at = max(at + 1, int(np.searchsorted(self.starts, self.starts[at] + PIECE, "right")) - 1)
+            cuts.append(at)
+        return list(zip(cuts[:-1], cuts[1:], strict=True))
+
+    def forward(self, first: int, last: int, a: np.ndarray | None, start: np.ndarray, moves: np.ndarray, table: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Scaled forward vectors and scales of steps first .. last - 1; a: the vectors of the step before."""
+        base, ones = self.starts[first], np.ones(STATES, table.dtype)
+        alpha = table[self.code[base : self.starts[last]]]
+        scales = np.empty(len(alpha), table.dtype)
+        edges = (self.starts[first : last + 1] - base).tolist()
+        for i, j in zip(edges[:-1], edges[1:], strict=True):
+            x = alpha[i:j]
+            x *= start if a is None else a[: j - i] @ moves
+            scales[i:j] = s = x @ ones
+            x /= s[:, None]
+            a = x
+        return alpha, scales
+
+
 def expected(symbols: np.ndarray, offsets: np.ndarray, model: Model) -> np.ndarray:
-    """Expected counts of one set of texts, as one vector: start, middle, moves, emits, log-likelihood."""
-    lengths = np.diff(offsets)
-    pieces = -(-lengths // WINDOW)
-    text = np.repeat(np.arange(len(lengths)), pieces)
-    head = offsets[:-1][text] + (np.arange(len(text)) - np.repeat(np.cumsum(pieces) - pieces, pieces)) * WINDOW
-    size = np.minimum(offsets[1:][text] - head, WINDOW)
-    begins = head == offsets[:-1][text]
-    at = head + np.arange(WINDOW)[:, None]
-    inside = np.arange(WINDOW)[:, None] < size
-    code = np.where(inside, symbols[np.minimum(at, len(symbols) - 1)], SYMBOLS)
-    table = np.vstack([model.emits.T, np.ones(STATES)]).astype(np.float32)
-    moves = model.moves.astype(np.float32)
-    alpha = np.empty((WINDOW, len(head), STATES), np.float32)
-    logs = np.zeros(len(head))
-    a = np.where(begins[:, None], model.start, model.middle).astype(np.float32)
-    scales = np.empty((WINDOW, len(head)), np.float32)
-    for t in range(WINDOW):
-        a = (a if t == 0 else a @ moves) * table[code[t]]
-        scales[t] = s = a.sum(1)
-        a /= s[:, None]
-        alpha[t] = a
-        logs += np.log(s)
-    beta = np.ones((len(head), STATES), np.float32)
-    pairs = np.zeros((STATES, STATES))
-    for t in range(WINDOW - 1, 0, -1):
-        ahead = beta * table[code[t]] / scales[t][:, None]
-        pairs += alpha[t - 1].T @ (ahead * inside[t][:, None])
-        beta = ahead @ moves.T
-        alpha[t - 1] *= beta  # now the states' probabilities, as scales are shared
-    gamma = alpha / alpha.sum(2, keepdims=True)
-    flat, codes = gamma[inside], code[inside]
-    emits = np.array([np.bincount(codes, flat[:, k], SYMBOLS) for k in range(STATES)])
-    return np.concatenate([gamma[0][begins].sum(0), gamma[0][~begins].sum(0), (pairs * model.moves).ravel(), emits.ravel(), [logs.sum()]])
-
-
-VECTOR = 2 * STATES + STATES * STATES + STATES * SYMBOLS + 1
+    """Expected counts of one set of texts, as one vector: start, moves, emits, log-likelihood."""
+    steps = Steps(symbols, offsets)
+    start, moves, table = (np.ascontiguousarray(x, np.float32) for x in (model.start, model.moves, model.emits.T))
+    pieces = steps.pieces()
+    heads = [None]
+    for first, last in pieces[:-1]:
+        alpha, _ = steps.forward(first, last, heads[-1], start, moves, table)
+        heads.append(alpha[steps.starts[last - 1] - steps.starts[first] :].copy())
+    begin, pairs, emits, logs = np.zeros(STATES), np.zeros((STATES, STATES)), np.zeros((STATES, SYMBOLS)), 0.0
+    ahead_of = np.zeros((0, STATES), np.float32)  # of the step after a piece
+    for (first, last), head in zip(pieces[::-1], heads[::-1], strict=True):
+        low, high = steps.starts[first], steps.starts[last]
+        alpha, scales = steps.forward(first, last, head, start, moves, table)
+        code = steps.code[low:high]
+        # ahead: what a step and those after it say of its state, before its own forward vector.
+        ahead = table[code] / scales[:, None]
+        beta = np.ones_like(ahead)
+        edges = (steps.starts[first : last + 1] - low).tolist()
+        for i, j in zip(edges[-2::-1], edges[:0:-1], strict=True):
+            if len(ahead_of):
+                np.matmul(ahead_of, moves.T, out=beta[i : i + len(ahead_of)])
+            ahead[i:j] *= beta[i:j]
+            ahead_of = ahead[i:j]
+        inner = edges[1]
+        pairs += alpha[steps.before[low + inner : high] - low].T @ ahead[inner:]
+        if head is not None:
+            pairs += head[: len(ahead_of)].T @ ahead_of
+        beta *= alpha
+        beta /= beta.sum(1, keepdims=True)
+        if head is None:
+            begin += beta[: edges[1]].sum(0)
+        emits += [np.bincount(code, beta[:, k], SYMBOLS) for k in range(STATES)]
+        logs += np.log(scales.astype(np.float64)).sum()
+        ahead_of = ahead_of.copy()
+    return np.concatenate([begin, (pairs * model.moves).ravel(), emits.ravel(), [logs]])
+
+
+VECTOR = STATES + STATES * STATES + STATES * SYMBOLS + 1
 
 
 def _expect(model):
@@ -240,27 +281,23 @@ def _add(batches):
 
 
 def reestimated(model: Model, v: np.ndarray) -> Model:
-    cuts = np.cumsum([STATES, STATES, STATES * STATES, STATES * SYMBOLS])
-    start, middle, moves, emits, _ = np.split(v, cuts)
+    cuts = np.cumsum([STATES, STATES * STATES, STATES * SYMBOLS])
+    start, moves, emits, _ = np.split(v, cuts)
     norm = lambda x, eps: (x + eps) / (x + eps).sum(-1, keepdims=True)
-    return Model(**(model.__dict__ | {"start": norm(start, 0.1), "middle": norm(middle, 0.1), "moves": norm(moves.reshape(STATES, STATES), 0.1), "emits": norm(emits.reshape(STATES, SYMBOLS), 0.02)}))
+    return Model(**(model.__dict__ | {"start": norm(start, 0.1), "moves": norm(moves.reshape(STATES, STATES), 0.1), "emits": norm(emits.reshape(STATES, SYMBOLS), 0.02)}))
 
 
 def log10_likelihood(symbols: np.ndarray, offsets: np.ndarray, model: Model) -> np.ndarray:
-    """Scaled forward recursion over whole texts, side by side; longer texts go on alone."""
-    lengths = np.diff(offsets)
-    order = np.argsort(-lengths, kind="stable")
-    heads, rising = offsets[:-1][order], np.sort(lengths)
-    out, table = np.zeros(len(lengths)), np.ascontiguousarray(model.emits.T)
-    a = np.broadcast_to(model.start, (len(order), STATES))
-    for t in range(int(lengths.max(initial=0))):
-        live = len(lengths) - int(np.searchsorted(rising, t, "right"))
-        a = (a[:live] if t == 0 else a[:live] @ model.moves) * table[symbols[heads[:live] + t]]
-        s = a.sum(1)
-        a /= s[:, None]
-        out[:live] += np.log10(s)
-    scores = np.empty(len(lengths))
-    scores[order] = out
+    """Scaled forward recursion over whole texts."""
+    steps = Steps(symbols, offsets)
+    table, a = np.ascontiguousarray(model.emits.T), None
+    out = np.zeros(len(steps.order))
+    for first, last in steps.pieces():
+        alpha, scales = steps.forward(first, last, a, model.start, model.moves, table)
+        a = alpha[steps.starts[last - 1] - steps.starts[first] :].copy()
+        out += np.bincount(steps.text[steps.starts[first] : steps.starts[last]], np.log10(scales), len(out))
+    scores = np.empty(len(out))
+    scores[steps.order] = out
     return scores
 
 
@@ -287,11 +324,11 @@ def _score(model):
     return run
 
 
-SCORES = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
+SCORES = "doc_id string, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
 
 
 def _scored(ids, held, n, known, m, base, score) -> pa.Table:
-    columns = [(ids, pa.int64()), (held, pa.bool_()), (n, pa.int64()), (known, pa.int64()), ([m.tokens] * len(ids), pa.int64()), (base, pa.float64()), (score, pa.float64())]
+    columns = [(ids, pa.string()), (held, pa.bool_()), (n, pa.int64()), (known, pa.int64()), ([m.tokens] * len(ids), pa.int64()), (base, pa.float64()), (score, pa.float64())]
     return pa.table([pa.array(x, t) for x, t in columns], names=[x.split()[0] for x in SCORES.split(", ")])
 
 
@@ -334,11 +371,13 @@ def held_out(doc_id: Column, folds: int = 7, fold: int = 2) -> Column:
 
 def score_texts(docs: DataFrame, rounds: int = 4, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """SCORES of each row of docs, under the model of those rows that aren't held out."""
-    slim = docs.select(F.col(doc_id).cast("long").alias("doc_id"), held_out(F.col(doc_id)).alias("held"), F.col(text).alias("text"))
+    kind = docs.schema[doc_id].dataType
+    slim = docs.select(F.col(doc_id).cast("string").alias("doc_id"), held_out(F.col(doc_id)).alias("held"), F.col(text).alias("text"))
     size = slim.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     chunks = written(slim.mapInArrow(_code, CODED), "coded")
     model, replies = train(chunks, rounds, size)
     sent = docs.sparkSession.sparkContext.broadcast(model)
     own = chunks.select("chunk", "ids", "n", "held", "local", "words", "classes", F.lit(None).cast("int").alias("bucket"), F.lit(None).cast("binary").alias("reply"))
     told = replies.select("chunk", *[F.lit(None).cast(t).alias(c) for c, t in own.dtypes[1:7]], "bucket", "reply")
-    return own.unionByName(told).groupBy("chunk").applyInArrow(_score(sent), SCORES)
+    scores = own.unionByName(told).groupBy("chunk").applyInArrow(_score(sent), SCORES)
+    return scores.withColumn("doc_id", F.col("doc_id").cast(kind))

@@ -326,24 +326,110 @@ def test_hmm(docs, empty):
     assert hmm.score_texts(empty, rounds=1).count() == 0
 
 
-def test_hmm_forward_is_exact_and_training_helps():
-    import itertools
-
+def random_model(rng):
     import numpy as np
 
-    rng = np.random.default_rng(1)
     norm = lambda x: x / x.sum(-1, keepdims=True)
     s, v = hmm.STATES, hmm.SYMBOLS
-    m = hmm.Model(np.zeros(0, np.uint64), np.zeros(0, int), np.zeros(hmm.RARE), np.zeros(hmm.RARE), 1, 1, 1, norm(rng.random(s)), norm(rng.random(s)), norm(rng.random((s, s))), norm(rng.random((s, v))))
-    seq = np.array([3, 5, 3, 9, 2, 7])
-    total = sum(m.start[p[0]] * m.emits[p[0], 3] * m.moves[p[0], p[1]] * m.emits[p[1], 5] * m.moves[p[1], p[2]] * m.emits[p[2], 3] for p in itertools.product(range(s), repeat=3))
-    scores = hmm.log10_likelihood(seq, np.array([0, 3, 6]), m)
-    assert scores[0] == pytest.approx(np.log10(total))
+    return hmm.Model(np.zeros(0, np.uint64), np.zeros(0, int), np.zeros(hmm.RARE), np.zeros(hmm.RARE), 1, 1, 1, norm(rng.random(s)), norm(rng.random((s, s))), norm(rng.random((s, v))))
+
+
+def plain_counts(texts, m):
+    """Baum-Welch expected counts by the textbook recursions, each text as one sequence."""
+    import numpy as np
+
+    begin, moves, emits, logs = np.zeros(hmm.STATES), np.zeros((hmm.STATES, hmm.STATES)), np.zeros((hmm.STATES, hmm.SYMBOLS)), 0.0
+    for t in texts:
+        alpha, scale = [], []
+        for i, x in enumerate(t):
+            a = (m.start if i == 0 else alpha[-1] @ m.moves) * m.emits[:, x]
+            scale.append(a.sum())
+            alpha.append(a / scale[-1])
+        beta = np.ones(hmm.STATES)
+        for i in range(len(t) - 1, -1, -1):
+            emits[:, t[i]] += alpha[i] * beta
+            if i:
+                ahead = m.emits[:, t[i]] * beta / scale[i]
+                moves += np.outer(alpha[i - 1], ahead) * m.moves
+                beta = m.moves @ ahead
+            else:
+                begin += alpha[0] * beta
+        logs += np.log(scale).sum()
+    return np.concatenate([begin, moves.ravel(), emits.ravel(), [logs]])
+
+
+@pytest.mark.parametrize("piece", [1 << 20, 70, 1])
+def test_hmm_trains_on_whole_texts(monkeypatch, piece):
+    import numpy as np
+
+    monkeypatch.setattr(hmm, "PIECE", piece)
+    rng = np.random.default_rng(1)
+    m = random_model(rng)
+    texts = [rng.integers(0, hmm.SYMBOLS, n) for n in (1, 300, 65, 64, 1, 129, 3)]
+    offsets = np.concatenate([[0], np.cumsum([len(t) for t in texts])])
+    got_, plain = hmm.expected(np.concatenate(texts), offsets, m), plain_counts(texts, m)
+    assert got_ == pytest.approx(plain, rel=2e-3, abs=1e-5)
+    scores = hmm.log10_likelihood(np.concatenate(texts), offsets, m)
+    assert scores == pytest.approx([plain_counts([t], m)[-1] / np.log(10) for t in texts])
+
+
+def test_hmm_score_of_a_table(spark):
+    """The score column by brute force: counts, classes, Baum-Welch and forward recursion in plain Python."""
+    import numpy as np
+
+    rng = random.Random(8)
+    texts = [(f"d{i}", " ".join(rng.choices([f"W{k}{'abc'[k % 3]}" for k in range(4000)], [1 / (k + 100) for k in range(4000)], k=rng.choice([0, 5, 600])))) for i in range(40)]
+    assert len({w for _, t in texts for w in t.split()}) > hmm.TOP + 100
+    held = [zlib.crc32(d.encode()) % 7 == 2 for d, _ in texts]
+    chunk = hmm.coded([(d, h, t.encode()) for (d, t), h in zip(texts, held, strict=True)])
+    from factweave.llm.words import word_hashes
+
+    words = sorted({w for _, t in texts for w in brute.lower(t).split()})
+    number = dict(zip(words, (int(x) for x in word_hashes([w.encode() for w in words])[:, 0]), strict=True))
+    cls = {w: (ord(w[-1]) * 31 + (ord(w[-2]) if len(w) > 1 else 0) * 37) % hmm.RARE for w in words}
+    count = {w: sum(brute.lower(t).split().count(w) for (_, t), h in zip(texts, held, strict=True) if not h) for w in words}
+    signed = lambda w: number[w] - (1 << 64) if number[w] >> 63 else number[w]
+    top = sorted((w for w in words if count[w]), key=lambda w: (-count[w], signed(w)))[: hmm.TOP]
+    top.sort(key=number.get)
+    taken = set(top)
+    rare = [w for w in words if w not in taken and count[w]]
+    n, v = np.zeros(hmm.RARE), np.zeros(hmm.RARE)
+    for w in rare:
+        n[cls[w]] += count[w]
+        v[cls[w]] += 1
+    place = {w: i for i, w in enumerate(top)}
+    symbol = {w: place.get(w, hmm.TOP + cls[w]) for w in words}
+    m = hmm.Model(np.array([number[w] for w in top], np.uint64), np.array([count[w] for w in top]), n.copy(), v.copy(), 0, 0, held.count(False), np.full(hmm.STATES, 1 / hmm.STATES), np.full((hmm.STATES, hmm.STATES), 0.1 / (hmm.STATES - 1)), np.zeros((hmm.STATES, hmm.SYMBOLS)))
+    np.fill_diagonal(m.moves, 0.9)
+    unigram = np.concatenate([m.top_counts, n, [m.ends]]) + 0.1
+    jitter = np.exp(0.7 * np.random.default_rng(7).standard_normal((hmm.STATES, hmm.SYMBOLS)))
+    jitter[:, hmm.END] = 1
+    m.emits = unigram * jitter / (unigram * jitter).sum(1, keepdims=True)
+    codes = [np.array([*(symbol[w] for w in brute.lower(t).split()), hmm.END]) for _, t in texts]
+    for _ in range(3):
+        m = hmm.reestimated(m, plain_counts([c for c, h in zip(codes, held, strict=True) if not h], m))
+    expected = {}
+    for (d, t), c in zip(texts, codes, strict=True):
+        share = sum(np.log10((count[w] + 1) / (n[cls[w]] + v[cls[w]] + 1)) for w in brute.lower(t).split() if w not in taken)
+        expected[d] = plain_counts([c], m)[-1] / np.log(10) + share
+    assert chunk["ids"] == [d for d, _ in texts]
+    frame = spark.createDataFrame(texts, "doc_id string, text string").coalesce(1)
+    out = {r.doc_id: r.score for r in hmm.score_texts(frame, rounds=3).collect()}
+    assert set(out) == set(expected)
+    for d, e in expected.items():
+        assert out[d] == pytest.approx(e, rel=1e-3, abs=1e-3), d
+
+
+def test_hmm_training_helps():
+    import numpy as np
+
+    rng = np.random.default_rng(1)
+    m = random_model(rng)
     data = np.concatenate([rng.integers(0, 20, 500), rng.integers(100, 120, 500)])
     before = None
     for _ in range(4):
         x = hmm.expected(data, np.array([0, 500, 1000]), m)
-        assert x[2 * s + s * s : -1].sum() == pytest.approx(1000, rel=1e-4)
+        assert x[hmm.STATES + hmm.STATES**2 : -1].sum() == pytest.approx(1000, rel=1e-4)
         assert before is None or x[-1] > before - 1e-3
         before, m = x[-1], hmm.reestimated(m, x)
 
