@@ -5,14 +5,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import release, written
+from .shared import delete, release, shared_folder, stored
 
 
-def _smallest_neighbour(edges: DataFrame, both_ways: bool) -> DataFrame:
-    """One star round on edges (u > v). Minimums are combined before the shuffle, so that a node
-    with very many edges is cheap; joins of such nodes are left to Spark's split of skewed keys."""
+def _smallest_neighbour(edges: DataFrame, both_ways: bool, path: str) -> DataFrame:
+    """One star round on edges (u > v). Minimums are combined before the shuffle and written, so that both sides of the
+    join are plain tables: small minimums are broadcast below Spark's size threshold, and a node with very many edges
+    is a skewed key that Spark splits over tasks."""
     pairs = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v"))) if both_ways else edges
-    low = pairs.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+    low = stored(pairs.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), path)
     stars = pairs.join(low, "u")
     if both_ways:
         out = stars.where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
@@ -23,14 +24,20 @@ def _smallest_neighbour(edges: DataFrame, both_ways: bool) -> DataFrame:
 
 def components(edges: DataFrame, rounds: int = 50) -> DataFrame:
     """edges (u, v) of one comparable type to (node, root): the smallest node reachable, for each node
-    with an edge other than to itself. Each round is written to the shared folder."""
-    edges = written(edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "edges")
+    with an edge other than to itself. Each round is written to the shared folder; the one before goes."""
+    spark = edges.sparkSession
+    home = shared_folder(spark, "components")
+    edges = stored(edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), f"{home}/edges-0")
     seen = None
-    for _ in range(rounds):
-        edges = written(_smallest_neighbour(_smallest_neighbour(edges, True), False), "edges")
-        now = tuple(edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
-        release(edges.sparkSession)
-        if now == seen:
+    for k in range(rounds):
+        large = stored(_smallest_neighbour(edges, True, f"{home}/low-{k}-large"), f"{home}/large-{k}")
+        after = stored(_smallest_neighbour(large, False, f"{home}/low-{k}-small"), f"{home}/edges-{k + 1}")
+        now = tuple(after.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
+        for old in (f"edges-{k}", f"low-{k}-large", f"large-{k}", f"low-{k}-small"):
+            delete(spark, f"{home}/{old}")
+        release(spark)
+        edges = after
+        if now == seen or not now[0]:
             return edges.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(edges.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
         seen = now
     raise RuntimeError("components didn't settle")

@@ -7,11 +7,14 @@ prefix doubling, its Burrows-Wheeler transform goes into a wavelet matrix, all p
 backward-searched together through its ranks, and occurrences are located by walking to sampled
 suffix positions. Hit words are merged into removal spans.
 
-Benchmark phrases travel to the tasks in blocks of at most BLOCK_BYTES of item text, so what is
-broadcast at once has a fixed bound; more items mean more blocks.
+Words are told apart by their bytes. Benchmark phrases travel to the tasks in blocks of at most BLOCK_BYTES of item
+text (a longer item is a block), one after the other: each block's hits are written before the next block is collected, so
+driver and executors hold one block at a time however large the benchmark is.
 
 Edge cases: null texts and texts without words have no hits; items without words match nothing;
-repeated items (equal id) count once; items with a null id count for hits, not in items.
+repeated items (equal id) count once; items with a null id count for hits, not in items; repeated rows are judged
+alike; columns of any names are kept, one named like the result is replaced; an empty table gives no rows, an empty
+benchmark no hits. Texts of any length are searched whole.
 """
 
 from __future__ import annotations
@@ -23,6 +26,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from . import rowkeys
+from .shared import shared_folder, written
 from .words import NON_ALNUM, U64, Words, covered, per_doc, text_chunks
 
 SHARD = 4 << 20
@@ -183,16 +188,25 @@ def benchmark_hits(docs: DataFrame, items: DataFrame, window: int = 13, text: st
     spans in bytes and in words, and the ids (as strings, sorted) of the items found."""
     slim = items.select(F.col(item_id).cast("string").alias("id"), F.col(item_text).cast("binary").alias("t")).where("t is not null").distinct()
     total = slim.agg(F.sum(F.length("t"))).first()[0] or 0
-    blocks = max(1, -(-total // BLOCK_BYTES))
-    parts = []
-    for b in range(blocks):
-        own = slim if blocks == 1 else slim.where(F.pmod(F.xxhash64("id", "t"), F.lit(blocks)) == b)
-        phrases = docs.sparkSession.sparkContext.broadcast(Phrases([(r.id, bytes(r.t)) for r in own.collect()], window))
-        parts.append(_searched(phrases)(F.col(text)))
+    blocks, context = max(1, -(-total // BLOCK_BYTES)), docs.sparkSession.sparkContext
+
+    def sent(block: int):
+        own = slim if blocks == 1 else slim.where(F.pmod(F.xxhash64("id", "t"), F.lit(blocks)) == block)
+        return context.broadcast(Phrases([(r.id, bytes(r.t)) for r in own.toLocalIterator()], window))
+
     if blocks == 1:
-        return docs.withColumn(into, parts[0])
-    # Spans of several blocks are merged where they touch or overlap.
-    return docs.withColumn(into, _merged(F.col(text), F.array(*parts)))
+        return docs.withColumn(into, _searched(sent(0))(F.col(text)))
+    schema = T.StructType([*(T.StructField(k, T.LongType()) for k in rowkeys.KEY), HITS["words"], HITS["items"], T.StructField("block", T.IntegerType())])
+    whole, path = rowkeys.keyed(docs), shared_folder(docs.sparkSession, "hits")
+    for b in range(blocks):
+        phrases = sent(b)
+        hits = whole.select(*rowkeys.KEY, _searched(phrases)(F.col(text)).alias("h")).where("h.n_hit > 0")
+        hits.select(*rowkeys.KEY, "h.words", "h.items").write.parquet(f"{path}/block={b}")
+        phrases.destroy()
+    # One row of hits a block for each text that has any; spans of several blocks are merged where they touch or overlap.
+    parts = docs.sparkSession.read.schema(schema).parquet(path).dropDuplicates([*rowkeys.KEY, "block"]).groupBy(*rowkeys.KEY).agg(F.collect_list(F.struct("words", "items")).alias("__parts"))
+    joined = whole.join(written(parts, "hit-parts"), rowkeys.KEY, "left")
+    return joined.withColumn(into, _merged(F.col(text), F.col("__parts"))).drop("__parts", *rowkeys.KEY)
 
 
 def _rows(texts, found) -> pa.Array:
@@ -228,10 +242,10 @@ def _merged(col: pa.Array, blocks: pa.Array) -> pa.Array:
     for t, parts in zip(col.cast(pa.binary()).to_pylist(), blocks.to_pylist(), strict=True):
         w = Words([t], NON_ALNUM, lower=True)
         hit = np.zeros(len(w), bool)
-        for p in parts:
+        for p in parts or ():
             for s in p["words"]:
                 hit[s["start"] : s["stop"]] = True
-        found.append((w, hit, [sorted({x for p in parts for x in p["items"]})]))
+        found.append((w, hit, [sorted({x for p in parts or () for x in p["items"]})]))
     return _rows(None, found)
 
 

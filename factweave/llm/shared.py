@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import contextlib
 import shutil
 import tempfile
 import uuid
@@ -21,7 +22,20 @@ def shared_folder(spark: SparkSession, name: str) -> str:
         else:
             base = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_checkpoints"
         spark.conf.set("spark.checkpoint.dir", base)
-    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    if not _made:
+        atexit.register(_clear, spark)
+    _made.append(path := f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}")
+    return path
+
+
+_made: list[str] = []
+
+
+def _clear(spark: SparkSession) -> None:
+    """Delete the folders when the driver ends: results are read from them until then."""
+    with contextlib.suppress(Exception):  # a session that is gone already
+        for path in _made:
+            delete(spark, path)
 
 
 #: Rows that Spark hands to Python at once. Texts are long: the usual 10,000 rows would be tens to hundreds of MB.
@@ -34,11 +48,15 @@ def bounded_batches(spark: SparkSession) -> None:
         spark.conf.set(key, str(BATCH_ROWS))
 
 
+def stored(df: DataFrame, path: str) -> DataFrame:
+    """The rows of df, read again from a table written to path."""
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """The rows of df, read again from a table written to the shared folder."""
-    spark = df.sparkSession
-    df.write.parquet(path := shared_folder(spark, name))
-    return spark.read.schema(df.schema).parquet(path)
+    return stored(df, shared_folder(df.sparkSession, name))
 
 
 def release(spark: SparkSession) -> None:

@@ -7,13 +7,19 @@ pair of positions of one group with their two byte values (seven postings a fing
 posting, shared positional bytes are tallied for each pair, pairs below the guaranteed minimum go,
 and the rest are verified by counting differing bits.
 
+A posting is held in one task as eight bytes a distinct fingerprint. Its size is bounded by the fingerprints that
+share two bytes, about one in 65,536 of all; linked ones don't add to it without end, as a ball of 4 bits holds 679,121 fingerprints.
 Postings longer than ``SPLIT`` are split by a further position: members that are linked share four
 bytes, of which at most two are in the key, so each pair meets again in a smaller posting. No pair
 table is emitted: a posting returns at most one edge less than it has members (a spanning forest of
 its links), which keeps all components. Equal fingerprints are one member.
 
+Components are found on nodes that begin with the smallest doc_id of a fingerprint, so the smallest node of a
+component is its name and no join gathers a large component's rows in one task.
+
 Edge cases: null, empty and word-free texts have fingerprint zero and link like any other; a null
-doc_id never names a component unless all its members' are null; repeated rows get equal results.
+doc_id never names a component unless all its members' are null; repeated rows get equal results; rows that share an
+id rank by the hash of all their columns; columns of any names are kept; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -27,6 +33,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from . import rowkeys
 from .components import components
 from .shared import written
 from .words import LOWER, text_chunks
@@ -135,19 +142,23 @@ def _postings(max_bits: int):
     """Partitions sorted by (slot, key) to spanning edges of each posting."""
 
     def run(batches):
-        rest = None
+        held = []  # stretches of the posting that isn't at its end yet
         for b in batches:
-            slot, key, f = (b[c].to_numpy(zero_copy_only=False) for c in ("slot", "key", "f"))
-            if rest is not None:
-                slot, key, f = (np.concatenate(x) for x in zip(rest, (slot, key, f), strict=True))
-            if not len(f):
+            part = tuple(b[c].to_numpy(zero_copy_only=False) for c in ("slot", "key", "f"))
+            if not len(part[0]):
+                continue
+            cuts = np.flatnonzero((np.diff(part[0]) != 0) | (np.diff(part[1]) != 0)) + 1
+            if held and (held[-1][0][-1], held[-1][1][-1]) != (part[0][0], part[1][0]):
+                cuts = np.concatenate([[0], cuts])
+            if not len(cuts):
+                held.append(part)
                 continue
-            cuts = np.flatnonzero((np.diff(slot) != 0) | (np.diff(key) != 0)) + 1
-            done = cuts[-1] if len(cuts) else 0
-            rest = slot[done:], key[done:], f[done:]
-            yield _edges(slot[:done], cuts[:-1], f[:done], max_bits)
-        if rest is not None:
-            yield _edges(rest[0], np.zeros(0, int), rest[2], max_bits)
+            done = [np.concatenate(x) for x in zip(*held, tuple(x[: cuts[-1]] for x in part), strict=True)]
+            before = sum(len(h[0]) for h in held)
+            held = [tuple(x[cuts[-1] :] for x in part)]
+            yield _edges(done[0], before + cuts[:-1], done[2], max_bits)
+        if held:
+            yield _edges(np.concatenate([h[0] for h in held]), np.zeros(0, int), np.concatenate([h[2] for h in held]), max_bits)
 
     return run
 
@@ -194,15 +205,19 @@ def near_links(prints: DataFrame, max_bits: int = 4) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, max_bits: int = 4, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """(doc_id, text_key, f, component_id) for each row of docs: a hash of its text, its fingerprint and the
+    """(doc_id, KEY, f, component_id) for each row of docs: the key of its columns, its fingerprint and the
     smallest doc_id that links reach."""
-    prints = written(docs.select(F.col(doc_id).alias("doc_id"), F.xxhash64(text).alias("text_key"), fingerprint(F.col(text)).alias("f")), "prints")
-    groups = components(near_links(prints.select("f").distinct(), max_bits))
+    whole = rowkeys.keyed(docs)
+    prints = written(whole.select(F.col(doc_id).alias("doc_id"), *rowkeys.KEY, fingerprint(F.col(text)).alias("f")), "prints")
     # Exact copies are reduced to their smallest id before any join.
-    roots = prints.groupBy("f").agg(F.min("doc_id").alias("m")).join(groups.withColumnRenamed("node", "f"), "f", "left")
-    roots = roots.select("f", "m", F.coalesce("root", "f").alias("root"))
-    named = roots.join(roots.groupBy("root").agg(F.min("m").alias("component_id")), "root").select("f", "component_id")
-    return prints.join(named, "f", "left").select("doc_id", "text_key", "f", "component_id")
+    nodes = written(prints.groupBy("f").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id")).alias("m")), "nodes")
+    nodes = nodes.select("f", F.struct("m.none", "m.doc_id", "f").alias("node"))
+    links = written(near_links(nodes.select("f"), max_bits).distinct(), "near-links")
+    side = lambda c: nodes.select(F.col("f").alias(c), F.col("node").alias(f"{c}_node"))
+    edges = links.join(side("u"), "u").join(side("v"), "v").select(F.col("u_node").alias("u"), F.col("v_node").alias("v"))
+    roots = components(edges).select(F.col("node.f").alias("f"), F.col("root.doc_id").alias("name"), F.lit(True).alias("linked"))
+    named = nodes.join(roots, "f", "left").select("f", F.when(F.col("linked"), F.col("name")).otherwise(F.col("node.doc_id")).alias("component_id"))
+    return prints.join(written(named, "named"), "f", "left").select("doc_id", *rowkeys.KEY, "f", "component_id")
 
 
 def hex_digits(f: Column) -> Column:
@@ -212,10 +227,8 @@ def hex_digits(f: Column) -> Column:
 def one_of_each(docs: DataFrame, max_bits: int = 4, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """The rows of docs of which one stands for each group: that with the smallest doc_id (null last)."""
     groups = near_duplicates(docs, max_bits, doc_id, text)
-    rank = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_key")
+    rank = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", *rowkeys.KEY)
     # Without any doc_id a component has no name; its fingerprints then stand for themselves.
-    keep = groups.groupBy("component_id", F.when(F.col("component_id").isNull(), F.col("f")).alias("own")).agg(F.min(rank).alias("k")).select(F.col("k.doc_id").alias("__id"), F.col("k.text_key").alias("__k"))
-    # Rows are found again by id and text hash; fingerprints aren't taken twice.
-    marked = docs.withColumn("__key", F.xxhash64(text))
-    kept = marked.alias("d").join(keep.alias("k"), F.col(f"d.{doc_id}").eqNullSafe(F.col("k.__id")) & (F.col("d.__key") == F.col("k.__k")), "left_semi")
-    return kept.dropDuplicates([doc_id, "__key"]).drop("__key")
+    keep = groups.groupBy("component_id", F.when(F.col("component_id").isNull(), F.col("f")).alias("own")).agg(F.min(rank).alias("k"))
+    keep = written(keep.select(*[F.col(f"k.{k}").alias(k) for k in rowkeys.KEY]), "kept")
+    return rowkeys.keyed(docs).join(keep, rowkeys.KEY, "left_semi").dropDuplicates(rowkeys.KEY).select(*[F.col(f"`{c}`") for c in docs.columns])

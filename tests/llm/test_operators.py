@@ -147,6 +147,37 @@ def test_near_duplicates_of_the_pipeline(spark, empty):
     bits = {r.doc_id: int(r.h, 16) for r in d.select("doc_id", simhash.hex_digits(simhash.fingerprint(F.col("text"))).alias("h")).collect()}
     assert any((bits[rows_[i][0]] ^ bits[rows_[j][0]]).bit_count() > 4 for i, j in pairs)
     assert neardup.one_of_each(empty).count() == 0
+    # The same in blocks of a few texts, which are held against each other two at a time.
+    neardup.MEMBERS, old = 3, neardup.MEMBERS
+    try:
+        again = neardup.one_of_each(d)
+        assert sorted((r.doc_id is None, r.doc_id or 0) for r in again.collect()) == sorted(least.values())
+    finally:
+        neardup.MEMBERS = old
+
+
+def test_a_group_in_several_parts(spark, monkeypatch):
+    """Texts that hang together by postings but not all by links: blocks find the same parts as one task."""
+    rng = random.Random(12)
+    base = [f"v{i}" for i in range(120)]
+    texts = []
+    for _ in range(60):
+        copy = list(base)
+        for i in rng.sample(range(120), rng.choice([1, 2, 5, 6])):
+            copy[i] = f"c{rng.randrange(10)}"
+        texts.append(" ".join(copy))
+    d = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    sets = [{tuple(w[i : i + 5]) for i in range(len(w) - 4)} for w in (t.split() for t in texts)]
+    root = list(range(60))
+    for i in range(60):
+        for j in range(i):
+            if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]):
+                root = [root[j] if r == root[i] else r for r in root]
+    least = sorted({min(i for i in range(60) if root[i] == r) for r in root})
+    assert 2 < len(least) < 60
+    for members in (512, 7):
+        monkeypatch.setattr(neardup, "MEMBERS", members)
+        assert sorted(r.doc_id for r in neardup.one_of_each(d).collect()) == least
 
 
 def test_postings_split_like_whole():
