@@ -1,14 +1,18 @@
 """License scans by conditional compression.
 
-The words around each cue that license wording can't do without are held against each template, across
-line ends. A passage is a match if the words that must be put in, taken out or replaced (a replaced
-word counts as two) to turn the template into it are few: max_difference of the template's words. All matches
-that don't overlap a better one are returned. Fewest differences come first; equal ones are ranked by
-compression: a passage is compressed alone and with the template as a zstandard raw dictionary, and the
+Candidate passages are held against each template, across line ends. A passage is a match if the words that must be put
+in, taken out or replaced (a replaced word counts as two) to turn the template into it are few: max_difference of the
+template's words. All matches that don't overlap a better one are returned. Fewest differences come first; equal ones are
+ranked by compression: a passage is compressed alone and with the template as a zstandard raw dictionary, and the
 template that saves more bytes wins.
 
-Edge cases: null and empty texts have no notices; equal savings rank by template name; repeated
-rows give repeated results; texts of any length are scanned whole.
+Candidates follow from the given templates and lose no match: a match that may differ in d words holds at least one of
+any d + 1 words of its template, so each template gives d + 1 cues, its longest words (figures and signs make a word as
+rare as four letters more), and only words near a cue of a text are looked at.
+
+Edge cases: null and empty texts have no notices; equal savings rank by template name; templates without words match
+nothing; repeated rows give repeated results, an empty table none; other columns aren't looked at, so they may have any
+names; texts and lines of any length are scanned whole.
 """
 
 from __future__ import annotations
@@ -38,11 +42,8 @@ TEMPLATES = {
     "MIT-grant": "Permission is hereby granted, free of charge, to any person obtaining a copy of this software",
     "MPL-2.0": "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.",
 }
-#: Every notice has one of these, in any case.
-CUES = re.compile(rb"licen[cs]|redistribut|permission|public domain|spdx", re.IGNORECASE)
-CUES_TEXT = re.compile(CUES.pattern.decode(), re.IGNORECASE)
 WORD = re.compile(r"[\w.+/&-]*\w")
-BLOCK = 512  # bytes from which lines are cut at sentence ends
+BLOCK = 512  # bytes from which lines are numbered by their sentences, too
 FOUND = "array<struct<block:int,license:string,reduction:double,n_different:int,differences:string,wording:string>>"
 
 
@@ -64,10 +65,14 @@ def _normal(text: str) -> list[str]:
 class Templates:
     """Compressors primed with each template."""
 
-    def __init__(self, templates: dict[str, str]):
+    def __init__(self, templates: dict[str, str], max_difference: float):
         level = zstandard.ZstdCompressionParameters.from_level(9, format=zstandard.FORMAT_ZSTD1_MAGICLESS, write_content_size=False, write_checksum=False, write_dict_id=False)
         self.plain = zstandard.ZstdCompressor(compression_params=level)
         self.words = {k: _normal(t) for k, t in sorted(templates.items())}
+        self.most = {k: int(2 * max_difference * len(a)) for k, a in self.words.items()}
+        self.cues: set[str] = set()
+        for k, a in self.words.items():
+            self.cues.update(sorted(a, key=lambda w: (-len(w) - 4 * (not w.isalpha()), w))[: self.most[k] + 1])
         self.primed = {k: zstandard.ZstdCompressor(compression_params=level, dict_data=zstandard.ZstdCompressionDict(t.encode(), dict_type=zstandard.DICT_TYPE_RAWCONTENT)) for k, t in templates.items()}
 
     def sizes(self, name: str, passage: bytes) -> tuple[int, int]:
@@ -75,21 +80,15 @@ class Templates:
         return len(self.plain.compress(passage)), len(self.primed[name].compress(passage))
 
 
-def regions(text: str, reach: int) -> Iterator[list[tuple[str, int, int]]]:
+def regions(text: str, cues: set[str], reach: int) -> Iterator[list[tuple[str, int, int]]]:
     """(word, start, stop) of the words up to reach words away from a cue, in connected runs."""
-    cues = (m.start() for m in CUES_TEXT.finditer(text))
-    cue, held, region, left = next(cues, None), deque(maxlen=reach), None, 0
+    held, region, left = deque(maxlen=reach), None, 0
     for m in WORD.finditer(text):
         item = m[0].lower(), m.start(), m.end()
-        met = False
-        while cue is not None and cue < item[2]:
-            cue, met = next(cues, None), True
-        if met:
+        if item[0] in cues:
             region, left = list(held) if region is None else region, reach + 1
         if region is None:
             held.append(item)
-            if cue is None:
-                return
             continue
         region.append(item)
         left -= 1
@@ -144,14 +143,17 @@ def differences(a: list[str], b: list[str]) -> list[str]:
     return out
 
 
-def scan(text: bytes | None, templates: Templates, max_difference: float) -> list[dict]:
-    if not text or not CUES.search(text):
+def scan(text: bytes | None, templates: Templates) -> list[dict]:
+    if not text:
         return []
     text = text.decode("utf-8", "replace")
-    most = {k: int(2 * max_difference * len(a)) for k, a in templates.words.items()}
+    low = text.lower()
+    if not any(cue in low for cue in templates.cues):
+        return []
+    most = templates.most
     reach = max((len(a) + most[k] for k, a in templates.words.items()), default=1)
     matches = []
-    for region in regions(text, reach):
+    for region in regions(text, templates.cues, reach):
         b = [w for w, _, _ in region]
         for name, a in templates.words.items():
             # A match has at least so many words of the template's, among no more words than these.
@@ -187,7 +189,7 @@ def license_notices(text: Column, templates: dict[str, str] = TEMPLATES, max_dif
 
     @F.arrow_udf(FOUND)
     def noticed(col: pa.Array) -> pa.Array:
-        primed = Templates(templates)
-        return pa.array([scan(t, primed, max_difference) for t in col.cast(pa.binary()).to_pylist()], row)
+        primed = Templates(templates, max_difference)
+        return pa.array([scan(t, primed) for t in col.cast(pa.binary()).to_pylist()], row)
 
     return noticed(text)

@@ -74,10 +74,4 @@ def op10_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", "dedup.n_words", "dedup.n_removed", F.sha2(F.coalesce("dedup.kept", F.lit("")).cast("binary"), 256).alias("kept_sha256"))
 
 
-def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
-    import corpus_pipeline
-
-    return corpus_pipeline.run(spark, sf_dir)
-
-
-QUERIES = {f.__name__: f for f in (op1_licenses, op2_warc, op3_simhash, op4_mixing, op5_hmm, op6_quality, op7_sharding, op8_urls, op9_decontaminate, op10_substrings, pipeline)}
+QUERIES = {f.__name__: f for f in (op1_licenses, op2_warc, op3_simhash, op4_mixing, op5_hmm, op6_quality, op7_sharding, op8_urls, op9_decontaminate, op10_substrings)}

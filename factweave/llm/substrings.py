@@ -9,14 +9,16 @@ a smaller doc_id of the batch holds, is reported back to its chunk. The bucket's
 become the batch's run. When ``fanout`` runs are live, the batch's job writes one merged run
 instead, which replaces them (compaction).
 
-Matches are verified by a second, independent fingerprint that travels with the first: 96 bits
-decide. For 10^13 windows the expected number of false matches is below 0.001.
+Matches are verified by a second fingerprint that travels with the first and is made of other word hashes (the two
+halves of each word's 128-bit XXH3 digest): 96 bits decide. For 10^13 windows the expected number of false matches is below 0.001.
 
 Batches must come in ascending doc_id ranges (``deduplicate`` cuts them so): history then only
 holds smaller ids. Hot windows are reduced before the shuffle to one row per chunk.
 
 Edge cases: null and empty texts have no windows; a null doc_id ranks after all others and such rows
-never remove from each other; rows that share a doc_id don't remove from each other. Input must
+never remove from each other; rows that share a doc_id don't remove from each other, equal ones get equal results; ids that
+aren't whole numbers are numbered in their order first; columns of any names are kept, one named like the result is
+replaced; an empty table gives no rows; texts of any length are taken whole. Input must
 read the same way twice (a scan or a written table).
 """
 
@@ -34,8 +36,9 @@ import zstandard
 from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .shared import delete, release, shared_folder
+from .shared import delete, release, shared_folder, written
 from .words import SPACES, U64, Words, chunked, covered, gram_values
 
 CHUNK = 4 << 20
@@ -262,7 +265,8 @@ def deduplicate(docs: DataFrame, window: int = 13, batches: int = 4, fanout: int
     space; null for a null text). Documents are added to a new index in ``batches`` rising doc_id
     ranges; a word goes if a window over it also starts in a document with a smaller doc_id."""
     spark = docs.sparkSession
-    slim = docs.select(F.coalesce(F.col(doc_id).cast("long"), F.lit(LAST)).alias("doc_id"), F.xxhash64(text).alias("key"), F.col(text).alias("text"))
+    left = _numbered(docs, doc_id).withColumn("__text_key", F.xxhash64(text))
+    slim = left.select(F.col("__number").alias("doc_id"), F.col("__text_key").alias("key"), F.col(text).alias("text"))
     bounds, size = _batches(slim, batches)
     index = FingerprintIndex(spark, shared_folder(spark, "substrings"), window, -(-size // BUCKET) or 1, fanout)
     flags = None
@@ -271,23 +275,32 @@ def deduplicate(docs: DataFrame, window: int = 13, batches: int = 4, fanout: int
         part = part if high is None else part.where(F.col("doc_id") <= high)
         found = index.add(part)
         flags = found if flags is None else flags.unionByName(found)
-    # Equal rows (doc_id and text) that lay in different chunks may each know a part.
-    flags = flags.groupBy("id", "key").agg(F.collect_set("windows").alias("windows"))
-    left = docs.withColumn("__id", F.coalesce(F.col(doc_id).cast("long"), F.lit(LAST))).withColumn("__key", F.xxhash64(text))
-    joined = left.join(flags.select(F.col("id").alias("__id"), F.col("key").alias("__key"), F.col("windows").alias("__windows")), ["__id", "__key"], "left")
-    return joined.withColumn(into, _removed(window)(F.col(text), F.col("__windows"))).drop("__id", "__key", "__windows")
+    # A chunk learns of all smaller ids of its windows, so equal rows (doc_id and text) in several chunks know the same.
+    flags = flags.groupBy(F.col("id").alias("__number"), F.col("key").alias("__text_key")).agg(F.max("windows").alias("__windows"))
+    joined = left.join(flags, ["__number", "__text_key"], "left")
+    return joined.withColumn(into, _removed(window)(F.col(text), F.col("__windows"))).drop("__number", "__text_key", "__windows")
+
+
+def _numbered(docs: DataFrame, doc_id: str) -> DataFrame:
+    """docs with __number: the doc_id if it is a whole number, else its place in the order of ids; LAST for null."""
+    if isinstance(docs.schema[doc_id].dataType, T.IntegralType):
+        return docs.withColumn("__number", F.coalesce(F.col(doc_id).cast("long"), F.lit(LAST)))
+    ids = docs.select(F.col(doc_id).alias("__id")).where("__id is not null").distinct().sort("__id")
+    ids = written(ids.withColumn("__number", F.monotonically_increasing_id()), "numbers")  # partitions rise as their ids do
+    joined = docs.join(ids, F.col(f"`{doc_id}`") == F.col("__id"), "left").drop("__id")
+    return written(joined.withColumn("__number", F.coalesce("__number", F.lit(LAST))), "numbered")
 
 
 def _removed(window: int):
     @F.arrow_udf("n_words long, n_removed long, kept string")
     def removed(col: pa.Array, windows: pa.Array) -> pa.Array:
         n_words, n_removed, kept = [], [], []
-        for t, blobs in zip(col.cast(pa.binary()).to_pylist(), windows.to_pylist(), strict=True):
+        for t, blob in zip(col.cast(pa.binary()).to_pylist(), windows.to_pylist(), strict=True):
             words = (t or b"").split()
             n_words.append(len(words))
             gone = 0
-            if blobs:
-                at = np.concatenate([unpack_rising(b, "u4") for b in blobs]).astype(np.int64)
+            if blob:
+                at = unpack_rising(blob, "u4").astype(np.int64)
                 drop = covered(len(words), at, at + window)
                 gone = int(drop.sum())
                 words = [x for x, d in zip(words, drop.tolist(), strict=True) if not d]

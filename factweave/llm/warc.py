@@ -11,8 +11,13 @@ the range, reading past its end to finish the last one. Ranges are opened by URI
 or any store that Arrow's file systems reach).
 
 Edge cases: a null payload is an empty one; a null url leaves the target out; control characters and
-spaces in a url are percent-encoded in the header; equal payloads under ``min_bytes`` are never
-revisits; rows with a null page_id revisit a named equal payload, else are responses.
+spaces in a url are percent-encoded in the header, which may be of any length; equal payloads under ``min_bytes`` are never
+revisits; rows with a null page_id revisit a named equal payload, else are responses; rows that share the smallest page_id
+of a payload are all responses, repeated rows are records of their own; other columns of a table aren't written, so they may have
+any names; an empty table gives an empty archive. A member that begins like a WARC record but is damaged, truncated or without
+header end raises an error that names its byte. What a byte range can't tell: a WARC member held uncompressed inside another
+member of a foreign archive is read as a record of its own if a range begins inside the outer one; members written here
+are compressed.
 """
 
 from __future__ import annotations
@@ -29,6 +34,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .shared import written
+
 MAGIC = b"\x1f\x8b\x08"
 EMPTY_MEMBER = bytes.fromhex("1f8b08000000000000ff03000000000000000000")
 READ = 1 << 20
@@ -38,9 +45,10 @@ RECORD = "file string, offset long, record_id string, record_type string, target
 def classified(pages: DataFrame, key: str, payload: Column, min_bytes: int = 100) -> DataFrame:
     """pages with __payload, __bytes, __digest, __refers (null: a response)."""
     full = pages.withColumn("__payload", F.coalesce(payload, F.lit(b""))).withColumn("__bytes", F.octet_length("__payload").cast("long")).withColumn("__digest", F.sha2("__payload", 256))
-    # One row a digest is left before the join; only payloads that occur twice take part in it.
+    # One row for each payload that occurs twice, written: where these are few Spark broadcasts them and payloads stay
+    # where they are; else both sides of the join are plain, so that Spark can split a payload that occurs very often.
     firsts = full.where(F.col("__bytes") >= min_bytes).groupBy("__digest").agg(F.min(key).alias("__first"), F.count("*").alias("__n")).where("__n > 1").drop("__n")
-    joined = full.join(firsts, "__digest", "left")
+    joined = full.join(written(firsts, "warc-firsts"), "__digest", "left")
     later = F.col("__first").isNotNull() & (F.col(key).isNull() | (F.col(key) > F.col("__first")))
     return joined.withColumn("__refers", F.when(later, F.col("__first"))).drop("__first")
 
@@ -89,18 +97,19 @@ class _Member:
     def __init__(self, file, start: int):
         self.file, self.at, self.start = file, start, start
         self.unpacker = zlib.decompressobj(31)
-        self.data = b""
+        self.data = bytearray()
 
     def more(self, size: int = READ) -> bool:
         if self.unpacker.eof:
             return False
-        self.file.seek(self.at)
-        raw = self.file.read(size)
-        if not raw:
-            return False
-        self.data += self.unpacker.decompress(raw)
-        self.at += len(raw) - len(self.unpacker.unused_data)
-        return True
+        if not (raw := self.unpacker.unconsumed_tail):
+            self.file.seek(self.at)
+            self.at += len(raw := self.file.read(size))
+        before = len(self.data)
+        self.data += self.unpacker.decompress(raw, 8 * READ)  # what one read unpacks to has a bound
+        if self.unpacker.eof:
+            self.at -= len(self.unpacker.unused_data)
+        return self.unpacker.eof or len(self.data) > before or bool(raw)
 
     def head(self) -> bytes | None:
         """The WARC header, of any length, or None if this isn't a record."""
@@ -121,7 +130,7 @@ class _Member:
             return None
         if end < 0:
             raise ValueError(f"WARC member without header end at byte {self.start}")
-        return self.data[:end]
+        return bytes(self.data[:end])
 
 
 def scan_range(file, start: int, stop: int) -> Iterator[tuple[int, dict[str, str], bytes]]:
@@ -152,7 +161,7 @@ def scan_range(file, start: int, stop: int) -> Iterator[tuple[int, dict[str, str
             raise ValueError(f"truncated WARC member at byte {at}")
         fields = _parse(head)
         body = member.data[len(head) + 4 :]
-        yield at, fields, body[: int(fields.get("content-length", len(body)))]
+        yield at, fields, bytes(body[: int(fields.get("content-length", len(body)))])
         at = member.at
 
 

@@ -24,6 +24,38 @@ def sha(t):
     return hashlib.sha256(t.encode()).hexdigest()
 
 
+def distance(a, b):
+    """Words to take out or put in."""
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        last, row[0] = row[0], i
+        for j, y in enumerate(b, 1):
+            last, row[j] = row[j], last if x == y else 1 + min(row[j], row[j - 1])
+    return row[-1]
+
+
+def op1(text, templates, sizes, most=0.15):
+    """(name, differences, wording) of the matches of every stretch of words with every template."""
+    found = [(m[0].lower(), m.start(), m.end()) for m in re.finditer(r"[\w.+/&-]*\w", text or "")]
+    matches = []
+    for name, t in sorted(templates.items()):
+        a = re.findall(r"[\w.+/&-]*\w", t.lower())
+        limit = int(2 * most * len(a))
+        for j in range(1, len(found) + 1):
+            best = min(((distance(a, [w for w, _, _ in found[i:j]]), -i) for i in range(max(0, j - len(a) - limit), j)), default=(99, 0))
+            if best[0] <= limit:
+                start, stop = found[-best[1]][1], found[j - 1][2]
+                while stop < len(text) and not text[stop].isspace() and not re.match(r"[\w.+/&-]*\w", text[stop:]):
+                    stop += 1
+                alone, primed = sizes(name, text[start:stop].encode())
+                matches.append((best[0], primed - alone, name, start, stop))
+    taken = []
+    for m in sorted(matches):
+        if all(m[4] <= t[3] or m[3] >= t[4] for t in taken):
+            taken.append(m)
+    return sorted((m[3], m[2], m[0], text[m[3] : m[4]]) for m in taken)
+
+
 def op2(pages):
     first = {}
     size = lambda h: len((h or "").encode())

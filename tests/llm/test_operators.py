@@ -475,18 +475,48 @@ def test_licenses(spark):
     assert found == [(1, "MIT", 0), (2, "CC-BY-NC-4.0", 0), (3, "GPL-3.0", 2), (7, "Apache-2.0", 0), (7, "Apache-2.0", 0)]
 
 
+def test_licenses_against_brute_force(spark):
+    t = licenses.Templates(licenses.TEMPLATES, 0.15)
+    rng = random.Random(6)
+    names = sorted(licenses.TEMPLATES)
+    texts = []
+    for _ in range(30):
+        words = rng.choices(["and", "license", "the", "Some", "version", "free,", "2.0.\n"], k=rng.randrange(12))
+        for _ in range(2):
+            notice = licenses.TEMPLATES[rng.choice(names)].split(" ")
+            for _ in range(rng.choice([0, 1, 2])):
+                notice[rng.randrange(len(notice))] = rng.choice(["other", "License", "words put in"])
+            words += [*notice, *rng.choices(["more", "text.", "under"], k=rng.randrange(4))]
+        texts.append(" ".join(words))
+    d = spark.createDataFrame([(i, x, 1, 2) for i, x in enumerate(texts)], "doc_id long, text string, block int, license int")
+    out = d.select("doc_id", "block", F.explode(licenses.license_notices(F.col("text"))).alias("n")).collect()
+    for i, x in enumerate(texts):
+        own = [(r.n.license, r.n.n_different, r.n.wording) for r in out if r.doc_id == i]
+        assert own == [m[1:] for m in brute.op1(x, licenses.TEMPLATES, t.sizes)], x
+    assert d.limit(0).select(F.explode(licenses.license_notices(F.col("text")))).count() == 0
+    long = "word " * 200000 + licenses.TEMPLATES["MIT"] + " word" * 200000
+    assert [f["license"] for f in licenses.scan(long.encode(), t)] == ["MIT"]
+
+
+def test_licenses_of_other_templates():
+    own = {"Own": "Copying and pasting are welcome to all readers of these pages", "One": "gratis"}
+    t = licenses.Templates(own, 0.15)
+    assert [(f["license"], f["n_different"]) for f in licenses.scan(b"So, copying and pasting are welcome to all writers of these pages. Gratis!", t)] == [("Own", 2), ("One", 0)]
+    assert licenses.scan(b"any text", licenses.Templates({}, 0.15)) == []
+
+
 def test_licenses_within_other_text():
-    t = licenses.Templates(licenses.TEMPLATES)
+    t = licenses.Templates(licenses.TEMPLATES, 0.15)
     rng = random.Random(2)
     for name, notice in licenses.TEMPLATES.items():
         for n in (0, 40, 160):
             other = "".join(rng.choices("abcdefghij klmnop qrstuv", k=n)).strip()
-            assert [(f["license"], f["n_different"]) for f in licenses.scan(f"{other} {notice}".encode(), t, 0.15)] == [(name, 0)], (name, n)
+            assert [(f["license"], f["n_different"]) for f in licenses.scan(f"{other} {notice}".encode(), t)] == [(name, 0)], (name, n)
 
 
 def test_licenses_over_lines_and_several_in_a_line():
-    t = licenses.Templates(licenses.TEMPLATES)
-    names = lambda x: [(f["block"], f["license"], f["n_different"]) for f in licenses.scan(x.encode(), t, 0.15)]
+    t = licenses.Templates(licenses.TEMPLATES, 0.15)
+    names = lambda x: [(f["block"], f["license"], f["n_different"]) for f in licenses.scan(x.encode(), t)]
     gpl = "This program is free software: you can redistribute it and/or modify\n it under the terms of the GNU General Public License as published by\n the Free Software Foundation, either version 3"
     bsd = licenses.TEMPLATES["BSD-3-Clause"].replace("without ", "without\n# ")
     assert names(gpl) == [(0, "GPL-3.0-header", 0)]
