@@ -7,45 +7,52 @@ the fuzzy matcher in Python.
 from __future__ import annotations
 
 import difflib
+from collections import Counter
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions import text as X
 
 MIN_QUOTE, MIN_FUZZY, MIN_WORDS = 12, 40, 4
-RANKS = {"verbatim": 2, "reflowed": 1, "unverified": 0}
-
-
-def best_window(quote: str, page: str, threshold: float) -> float:
-    """Similarity of the quote to the page's best window of its length, windows a quarter apart; the
-    first that reaches the threshold ends the search."""
-    size, best = len(quote), 0.0
-    matcher = difflib.SequenceMatcher(a=quote, autojunk=False)
-    for at in range(0, max(len(page) - size, 0) + 1, max(size // 4, 1)):
-        matcher.set_seq2(page[at : at + size])
-        if matcher.quick_ratio() > best:
-            best = max(best, matcher.ratio())
+
+
+def likeness(quote: str, window: str) -> float:
+    """Ratcliff-Obershelp similarity, from the quote's side."""
+    return difflib.SequenceMatcher(None, quote, window, False).ratio()
+
+
+def best_window(quote: str, page: str, threshold: float, least: float = 0.0) -> float:
+    """How well the quote fits the page: its likeness to the first window that reaches the threshold, else to the best, 0
+    if that isn't above least. Windows have the quote's length and begin a quarter of it apart."""
+    width, letters, best = len(quote), Counter(quote), 0.0
+    for start in range(0, max(1, len(page) - width + 1), max(1, width // 4)):
+        window = page[start : start + width]
+        # No alignment matches more letters than both have in common.
+        if 2 * (letters & Counter(window)).total() <= max(best, least) * (width + len(window)):
+            continue
+        best = max(best, likeness(quote, window))
         if best >= threshold:
-            break
-    return best
+            return best
+    return best if best > least else 0.0
 
 
-def _fuzzy(threshold: float):
+def _fuzzy(threshold: float, least: float):
     @F.arrow_udf(T.DoubleType())
     def fuzzy(quotes: pa.Array, pages: pa.Array) -> pa.Array:
-        return pa.array([None if q is None or p is None else best_window(q, p, threshold) for q, p in zip(quotes.to_pylist(), pages.to_pylist(), strict=True)], pa.float64())
+        return pa.array([None if q is None or p is None else best_window(q, p, threshold, least) for q, p in zip(quotes.to_pylist(), pages.to_pylist(), strict=True)], pa.float64())
 
     return fuzzy
 
 
-def with_grounding(pairs: DataFrame, quote: str = "quote", page_text: str = "page_text", threshold: float = 0.88, coverage: float = 0.8, fuzzy: bool = True, compatibility: bool = True, strict_numbers: bool = False) -> DataFrame:
+def with_grounding(pairs: DataFrame, quote: str = "quote", page_text: str = "page_text", threshold: float = 0.88, coverage: float = 0.8, fuzzy: bool = True, compatibility: bool = True, strict_numbers: bool = False, found_only: bool = False) -> DataFrame:
     """pairs with grounding (verbatim, reflowed, unverified) and score.
 
     strict_numbers: a quote with a number that the page lacks is never verbatim by the fuzzy test.
-    fuzzy, compatibility: leave out the fuzzy test, or NFKC."""
+    fuzzy, compatibility: leave out the fuzzy test, or NFKC. found_only: scores of unverified quotes don't matter, so
+    windows that can't reach the threshold aren't aligned."""
     d = pairs.withColumn("__q", X.canon(F.col(quote), compatibility)).withColumn("__p", X.canon(F.col(page_text), compatibility))
     usable = (F.length("__q") >= MIN_QUOTE) & (F.length("__p") > 0)
     d = d.withColumn("__usable", usable).withColumn("__exact", usable & F.contains("__p", "__q"))
@@ -57,7 +64,7 @@ def with_grounding(pairs: DataFrame, quote: str = "quote", page_text: str = "pag
     best = F.lit(0.0)
     if fuzzy:
         # Nulls cost the matcher nothing.
-        d = d.withColumn("__best", F.coalesce(_fuzzy(threshold)(F.when(wanted, F.col("__q")), F.when(wanted, F.col("__p"))), F.lit(0.0)))
+        d = d.withColumn("__best", F.coalesce(_fuzzy(threshold, threshold - 1e-9 if found_only else 0.0)(F.when(wanted, F.col("__q")), F.when(wanted, F.col("__p"))), F.lit(0.0)))
         best = F.col("__best")
     reflowed = F.col("__there") & ((F.size("__qn") > 0) | (F.size("__qw") >= MIN_WORDS)) & (F.col("__cover") >= coverage)
     state = F.when(~F.col("__usable"), "unverified").when(F.col("__exact") | (best >= threshold), "verbatim").when(reflowed, "reflowed").otherwise("unverified")
@@ -80,7 +87,9 @@ def ground_facts(facts: DataFrame, pages: DataFrame, fact_id: str = "fact_id", *
     claimed = with_grounding(claimed, **options).drop("page_text")
     lost = claimed.where("grounding = 'unverified'").select(F.col(fact_id).alias("__f"), "doc_id", "page", "quote", "start_page", "end_page")
     near = (F.col("doc_id") == F.col("__d")) & F.col("__page").between(F.col("start_page"), F.col("end_page")) & (F.col("__page") != F.coalesce("page", F.lit(-1)))
-    tried = with_grounding(lost.join(texts, near).select("__f", "__page", "quote", "page_text"), **options).where("grounding <> 'unverified'")
+    others = lost.join(texts, near).select("__f", "__page", "quote", "page_text")
+    others = others.repartition(2 * facts.sparkSession.sparkContext.defaultParallelism, "__f", "__page")  # few rows, much work each
+    tried = with_grounding(others, found_only=True, **options).where("grounding <> 'unverified'")
     rank = F.when(F.col("grounding") == "verbatim", 2).otherwise(1)
     best = tried.groupBy("__f").agg(F.max_by(F.struct("__page", "grounding", "score"), F.struct(rank, -F.col("__page"))).alias("__best"))
     out = claimed.join(best, F.col(fact_id) == F.col("__f"), "left")
@@ -96,6 +105,3 @@ def first_of_each(facts: DataFrame) -> DataFrame:
     same = Window.partitionBy("doc_id", "claim_key", "value_raw", "period_raw").orderBy("chunk", "ordinal")
     return named.withColumn("__n", F.row_number().over(same)).where("__n = 1").drop("__n")
 
-
-def quote_ranks(grounding: Column) -> Column:
-    return F.coalesce(F.when(grounding == "verbatim", 2).when(grounding == "reflowed", 1), F.lit(0))
