@@ -10,6 +10,7 @@ from .quantity import let, stripped
 #: Month prefixes and ordinals in order.
 MONTHS = ["jan", "feb", "mar", "apr", "may", "jun", "jul", "aug", "sep", "oct", "nov", "dec"]
 ORDINALS = ["first", "second", "third", "fourth"]
+#: The forms of periods.
 FISCAL = r"(?:fy|fiscal(?:\s+year)?)"
 QUARTER = r"\bq([1-4])(?:\b|\s*fy)"
 QUARTER_WORD = r"\b(first|second|third|fourth)\s+quarter\b"

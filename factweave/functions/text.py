@@ -86,3 +86,34 @@ def like_any(columns: list[Column], term: str) -> Column:
     for c in columns[1:]:
         out = out | c.ilike(pattern)
     return out
+
+
+#: Names of relation types for readers; other types read like the last.
+RELATION_LABELS = {
+    "corroborates": "Corroborates", "contradicts": "Contradicts", "reconciled_time": "Reconciled · time", "reconciled_units": "Reconciled · units", "reconciled_scope": "Reconciled · scope", "needs_review": "Needs review",
+}
+
+
+def relation_label(relation_type: Column) -> Column:
+    names = F.create_map(*[F.lit(x) for pair in RELATION_LABELS.items() for x in pair])
+    return F.coalesce(F.try_element_at(names, relation_type), F.lit(RELATION_LABELS["needs_review"]))
+
+
+def clipped(text: Column, n: int) -> Column:
+    """The first n characters; null is empty."""
+    return F.substring(F.coalesce(text, F.lit("")), 1, n)
+
+
+def decimals(x: Column, places: int) -> Column:
+    """Rounded half up, by the number's decimal notation."""
+    return F.format_string(f"%.{places}f", x.cast("double"))
+
+
+def percent(x: Column) -> Column:
+    """A share as a whole percent."""
+    return F.concat(F.round(x * 100).cast("long").cast("string"), F.lit("%"))
+
+
+def plain_quotes(text: Column) -> Column:
+    """Double quotes made single, for text that stands between double quotes."""
+    return F.translate(F.coalesce(text, F.lit("")), '"', "'")

@@ -38,6 +38,18 @@ def embedded(key: Column, embed=hashed_vectors) -> Column:
     return vectors(key)
 
 
+def with_period(facts: DataFrame, into: str, raw: str = "period_raw", convention: str | None = None) -> DataFrame:
+    """facts with the parsed period. Texts of periods repeat: each is parsed once with each convention and joined back, by
+    broadcast where they are few."""
+    keys = [raw] if convention is None else [raw, convention]
+    texts = facts.select(*[F.col(k).alias(f"__{k}") for k in keys]).distinct()
+    texts = texts.withColumn(into, period.parse_period(F.col(f"__{raw}"), F.lit("IN") if convention is None else F.col(f"__{convention}")))
+    same = F.lit(True)
+    for k in keys:
+        same = same & F.col(k).eqNullSafe(F.col(f"__{k}"))
+    return facts.join(texts, same, "left").drop(*[f"__{k}" for k in keys])
+
+
 def assembled_facts(raw: DataFrame, pages: DataFrame, chunks: DataFrame, documents: DataFrame, first_id: int = 1, embed=hashed_vectors) -> DataFrame:
     """raw (RAW_FACTS) to facts: grounded, keyed, deduplicated, normalized, numbered; verified ones with a
     vector. documents gives each document's fiscal-year convention."""
@@ -47,8 +59,7 @@ def assembled_facts(raw: DataFrame, pages: DataFrame, chunks: DataFrame, documen
     grounded = ground_facts(numbered, pages)
     grounded = grounded.join(documents.select("doc_id", "fy_convention"), "doc_id", "left")
     q = quantity.parse_quantity(F.col("value_raw"), F.col("unit_hint"))
-    p = period.parse_period(F.col("period_raw"), F.coalesce("fy_convention", F.lit("IN")))
-    parsed = grounded.withColumn("__q", q).withColumn("__p", p)
+    parsed = with_period(grounded.withColumn("__q", q).withColumn("fy_convention", F.coalesce("fy_convention", F.lit("IN"))), "__p", "period_raw", "fy_convention")
     columns = {"value_num": "__q.value", "unit": "__q.unit", "dimension": "__q.dimension", "period_start": "__p.start", "period_end": "__p.end", "period_kind": "__p.kind", "source_quote": "quote"}
     parsed = parsed.withColumns({k: F.col(v) for k, v in columns.items()}).drop("__q", "__p", "fy_convention")
     return parsed.withColumn("embedding", F.when(F.col("quote_verified"), embedded(F.when(F.col("quote_verified"), F.col("claim_key")), embed)))

@@ -8,6 +8,7 @@ K candidates a block, which are merged by rank.
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
@@ -19,19 +20,23 @@ BLOCK_ROWS = 16384
 BATCH = 512
 
 
-def _best(left: pd.DataFrame, ids: np.ndarray, docs: np.ndarray, matrix: np.ndarray, floor: float, k: int, earlier: bool) -> pd.DataFrame:
+def _best(left: pd.DataFrame, ids: np.ndarray, docs: np.ndarray, matrix: np.ndarray, floor: float, k: int, earlier: bool) -> Iterator[pd.DataFrame]:
     """Up to k candidates of each left row, best first, later ids first among equals."""
-    out = []
     for at in range(0, len(left), BATCH):
         part = left.iloc[at : at + BATCH]
+        own, doc = part["fact_id"].to_numpy(), part["doc_id"].to_numpy()
         sims = np.stack(part["embedding"].to_numpy()).astype(np.float64) @ matrix.T
-        own = part["doc_id"].to_numpy()[:, None]
-        sims[(docs[None, :] >= own) if earlier else (docs[None, :] == own)] = -np.inf
-        for i, row in enumerate(sims):
-            near = np.flatnonzero(row >= floor)
-            near = near[np.lexsort((-ids[near], -row[near]))][:k]
-            out.append(pd.DataFrame({"a_id": part["fact_id"].iloc[i], "b_id": ids[near], "a_doc": part["doc_id"].iloc[i], "b_doc": docs[near], "similarity": row[near]}))
-    return pd.concat(out) if out else pd.DataFrame(columns=[c.split()[0] for c in PAIRS.split(", ")])
+        sims[(docs[None, :] >= doc[:, None]) if earlier else (docs[None, :] == doc[:, None])] = -np.inf
+        least = np.full(len(part), floor)
+        if sims.shape[1] > k:
+            least = np.maximum(least, np.partition(sims, -k, axis=1)[:, -k])
+        rows, columns = np.nonzero(sims >= least[:, None])  # with all that equal the k-th
+        found = sims[rows, columns]
+        order = np.lexsort((-ids[columns], -found, rows))
+        rows, columns, found = rows[order], columns[order], found[order]
+        keep = np.arange(len(rows)) - np.searchsorted(rows, rows) < k
+        rows, columns, found = rows[keep], columns[keep], found[keep]
+        yield pd.DataFrame({"a_id": own[rows], "b_id": ids[columns], "a_doc": doc[rows], "b_doc": docs[columns], "similarity": found})
 
 
 def candidates(new: DataFrame, stored: DataFrame, floor: float = 0.78, k: int = 5, earlier: bool = False, broadcast_bytes: int = 64 << 20) -> DataFrame:
@@ -49,7 +54,7 @@ def candidates(new: DataFrame, stored: DataFrame, floor: float = 0.78, k: int =
             ids, docs, m = sent.value
             for pdf in batches:
                 if len(ids):
-                    yield _best(pdf, ids, docs, m, floor, k, earlier)
+                    yield from _best(pdf, ids, docs, m, floor, k, earlier)
 
         pairs = left.mapInPandas(run, PAIRS)
     else:
@@ -64,7 +69,7 @@ def candidates(new: DataFrame, stored: DataFrame, floor: float = 0.78, k: int =
         def multiply(a: pd.DataFrame, c: pd.DataFrame) -> pd.DataFrame:
             if not len(a) or not len(c):
                 return pd.DataFrame(columns=[x.split()[0] for x in PAIRS.split(", ")])
-            return _best(a, c["b_fact_id"].to_numpy(), c["b_doc_id"].to_numpy(), np.stack(c["b_embedding"].to_numpy()).astype(np.float64), floor, k, earlier)
+            return pd.concat(_best(a, c["b_fact_id"].to_numpy(), c["b_doc_id"].to_numpy(), np.stack(c["b_embedding"].to_numpy()).astype(np.float64), floor, k, earlier))
 
         pairs = lefts.groupBy("l", "r").cogroup(rights.groupBy("b_l", "b_r")).applyInPandas(multiply, PAIRS)
     rank = F.row_number().over(Window.partitionBy("a_id").orderBy(F.desc("similarity"), F.desc("b_id")))

@@ -8,7 +8,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions import period, quantity, text
+from ..functions import quantity, text
+from ..operators.facts import with_period
 from ..sources import pages as P
 
 #: Raw quantities and periods that exercise every branch, with unit hints and conventions.
@@ -30,12 +31,20 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def quantity_samples(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame([(i, *q) for i, q in enumerate(QUANTITIES)], "id long, raw string, hint string")
+def _dealt(spark: SparkSession, sf_dir: str, samples: list[tuple], kind: str) -> DataFrame:
+    """A sample for each order, in turn, and another one (a, b), so that all pairs of samples come up."""
+    k, n = F.col("o_orderkey"), len(samples)
+    rows = F.array(*[F.struct(*[F.lit(x).cast("string").alias(c) for x, c in zip(r, ("raw", kind), strict=True)]) for r in samples])
+    dealt = table(spark, sf_dir, "orders").select(k.alias("id"), F.element_at(rows, (k % n + 1).cast("int")).alias("a"), F.element_at(rows, (F.expr(f"o_orderkey div {n}") % n + 1).cast("int")).alias("b"))
+    return dealt.select("id", "a.*", F.col("b.raw").alias("other_raw"), F.col(f"b.{kind}").alias(f"other_{kind}"))
 
 
-def period_samples(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame([(i, *p) for i, p in enumerate(PERIODS)], "id long, raw string, convention string")
+def quantity_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _dealt(spark, sf_dir, QUANTITIES, "hint")
+
+
+def period_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _dealt(spark, sf_dir, PERIODS, "convention")
 
 
 def raw_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -66,7 +75,7 @@ def facts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def parsed(d: DataFrame) -> DataFrame:
     d = d.withColumn("claim_key", text.claim_key(F.col("subject"), F.col("predicate"), F.col("qualifiers")))
-    d = d.withColumn("q", quantity.parse_quantity(F.col("value_raw"))).withColumn("p", period.parse_period(F.col("period_raw")))
+    d = with_period(d.withColumn("q", quantity.parse_quantity(F.col("value_raw"))), "p")
     names = {"value_num": "q.value", "unit": "q.unit", "dimension": "q.dimension", "period_start": "p.start", "period_end": "p.end", "period_kind": "p.kind"}
     return d.withColumns({k: F.col(v) for k, v in names.items()}).drop("q", "p")
 
@@ -92,7 +101,7 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 def relations(spark: SparkSession, sf_dir: str) -> DataFrame:
     k = F.col("o_orderkey")
     types = F.array(*[F.lit(t) for t in ("corroborates", "contradicts", "reconciled_time", "reconciled_units", "needs_review")])
-    return table(spark, sf_dir, "orders").where((k % 11 == 0) & (k >= 7)).select(k.alias("fact_a_id"), (k - 7).alias("fact_b_id"), F.element_at(types, (k % 5 + 1).cast("int")).alias("relation_type"), F.when(k % 3 == 0, "rule").otherwise("llm").alias("decided_by"), F.concat(F.lit("because "), k.cast("string")).alias("explanation"), F.round((k % 1000) / 1000, 3).alias("similarity"), F.round((k % 20) / 20, 2).alias("confidence"))
+    return table(spark, sf_dir, "orders").select(k.alias("fact_a_id"), (k + 7).alias("fact_b_id"), F.element_at(types, (k % 5 + 1).cast("int")).alias("relation_type"), F.when(k % 3 == 0, "rule").otherwise("llm").alias("decided_by"), F.concat(F.lit("because "), k.cast("string")).alias("explanation"), F.round((k % 1000) / 1000, 3).alias("similarity"), F.round((k % 20) / 20, 2).alias("confidence"))
 
 
 def pages(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -103,14 +112,14 @@ def pages(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def quotes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A quote for each document's first page of 60 characters or more: as it stands, its words turned round,
-    with an invented number, or of another page."""
-    p = pages(spark, sf_dir).select("doc_id", "page", "text", "combined").where(F.length("text") >= 60)
-    first = p.groupBy("doc_id").agg(F.min(F.struct("page", "text", "combined")).alias("x")).select("doc_id", "x.*")
+    """A quote for each page: a part of it as it stands, its words turned round, a part with an invented number, or
+    words of no page."""
+    p = pages(spark, sf_dir).select("doc_id", "page", "text", "combined")
     words = F.slice(F.split("text", " "), 1, 12)
-    k = F.col("doc_id") % 4
+    k = (F.col("doc_id") + F.col("page")) % 4
     quote = F.when(k == 0, F.substring("text", 3, 50)).when(k == 1, F.array_join(F.reverse(words), " ")).when(k == 2, F.concat(F.substring("text", 3, 40), F.lit(" 98765"))).otherwise(F.lit("Entirely different wording about nothing on that page"))
-    return first.select(F.col("doc_id").alias("fact_id"), "doc_id", "page", quote.alias("quote"), F.col("combined").alias("page_text"))
+    p = p.select((F.col("doc_id") * 1000000 + F.col("page")).alias("fact_id"), "doc_id", "page", quote.alias("quote"), F.col("combined").alias("page_text"))
+    return p.repartition(2 * spark.sparkContext.defaultParallelism, "fact_id")  # the fuzzy test costs far more than a shuffle
 
 
 # --- the same in DuckDB SQL, as CTEs -------------------------------------------------------------
@@ -127,20 +136,22 @@ FACTS_RAW = """raw_facts AS (SELECT o_orderkey AS fact_id, substr(o_orderpriorit
 DOCUMENTS = """docs AS (SELECT substr(p, 1, 1)::BIGINT AS doc_id, lower(p) || '.pdf' AS filename, CASE WHEN substr(p, 1, 1) <> '3' THEN p END AS title,
   CASE WHEN substr(p, 1, 1)::INT % 2 = 1 THEN 'building' ELSE 'Automobile' END AS publisher, '2024-03-31' AS doc_date FROM (SELECT DISTINCT o_orderpriority AS p FROM orders UNION ALL SELECT '6-EMPTY'))"""
 
-RELATIONS = """rels AS (SELECT o_orderkey AS fact_a_id, o_orderkey - 7 AS fact_b_id, ['corroborates', 'contradicts', 'reconciled_time', 'reconciled_units', 'needs_review'][(o_orderkey % 5 + 1)::INT] AS relation_type,
+RELATIONS = """rels AS (SELECT o_orderkey AS fact_a_id, o_orderkey + 7 AS fact_b_id, ['corroborates', 'contradicts', 'reconciled_time', 'reconciled_units', 'needs_review'][(o_orderkey % 5 + 1)::INT] AS relation_type,
   CASE WHEN o_orderkey % 3 = 0 THEN 'rule' ELSE 'llm' END AS decided_by, 'because ' || o_orderkey AS explanation, round((o_orderkey % 1000) / 1000.0::DOUBLE, 3) AS similarity, round((o_orderkey % 20) / 20.0::DOUBLE, 2) AS confidence
-  FROM orders WHERE o_orderkey % 11 = 0 AND o_orderkey >= 7)"""
+  FROM orders)"""
 
 PAGES = """pg AS (SELECT doc_id, page, text, tables_text, coalesce(text, '') || CASE WHEN tables_text <> '' THEN chr(10) || tables_text ELSE '' END AS combined FROM (
   SELECT doc_id, page::INT AS page, text, CASE WHEN page % 3 = 0 THEN 'TABLE:' || chr(10) || 'row | ' || page ELSE '' END AS tables_text FROM (
   SELECT doc_id, unnest(string_split(text, chr(10))) AS text, unnest(range(1, len(string_split(text, chr(10))) + 1)) AS page FROM documents)))"""
 
-QUOTES = """first AS (SELECT doc_id, page, text, combined FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY page) AS n FROM pg WHERE length(text) >= 60) WHERE n = 1),
-quotes AS (SELECT doc_id AS fact_id, doc_id, page, CASE doc_id % 4 WHEN 0 THEN substr(text, 3, 50) WHEN 1 THEN array_to_string(list_reverse(string_split(text, ' ')[1:12]), ' ') WHEN 2 THEN substr(text, 3, 40) || ' 98765'
-  ELSE 'Entirely different wording about nothing on that page' END AS quote, combined AS page_text FROM first)"""
+QUOTES = """quotes AS (SELECT doc_id * 1000000 + page AS fact_id, doc_id, page, CASE (doc_id + page) % 4 WHEN 0 THEN substr(text, 3, 50) WHEN 1 THEN array_to_string(list_reverse(string_split(text, ' ')[1:12]), ' ') WHEN 2 THEN substr(text, 3, 40) || ' 98765'
+  ELSE 'Entirely different wording about nothing on that page' END AS quote, combined AS page_text FROM pg)"""
 
 
-def values(rows: list[tuple], *names: str) -> str:
-    """A CTE body of literal rows, numbered from 0."""
+def dealt(rows: list[tuple], kind: str) -> str:
+    """A CTE body: a sample for each order, in turn, and another."""
     quote = lambda x: "NULL" if x is None else "'" + x.replace("'", "''") + "'"
-    return f"SELECT * FROM (VALUES {', '.join('(' + ', '.join([str(i), *map(quote, r)]) + ')' for i, r in enumerate(rows))}) t(id, {', '.join(names)})"
+    n, lists = len(rows), [f"([{', '.join(quote(r[i]) for r in rows)}])" for i in (0, 1)]
+    first, second = "(o_orderkey % {0} + 1)::INT", "((o_orderkey // {0}) % {0} + 1)::INT"
+    own, other = ([f"{x}[{at.format(n)}]" for x in lists] for at in (first, second))
+    return f"SELECT o_orderkey AS id, {own[0]} AS raw, {own[1]} AS {kind}, {other[0]} AS other_raw, {other[1]} AS other_{kind} FROM orders"

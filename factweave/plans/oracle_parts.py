@@ -2,7 +2,17 @@
 
 from __future__ import annotations
 
-from ..functions.quantity import CURRENCIES, SCALES, SYMBOLS
+import re
+
+#: Fixed values, written down here once more so that a wrong entry of the tables under test shows: scale words, and
+#: currency tokens in order of precedence (symbols count wherever they stand).
+SCALE_WORDS = {
+    "hundred": 1e2, "thousand": 1e3, "k": 1e3, "lakh": 1e5, "lakhs": 1e5, "lac": 1e5, "lacs": 1e5, "million": 1e6, "mn": 1e6, "mln": 1e6,
+    "crore": 1e7, "crores": 1e7, "cr": 1e7, "billion": 1e9, "bn": 1e9, "trillion": 1e12, "tn": 1e12,
+}
+TOKENS = {
+    "INR": ["₹", "rs", "rs.", "inr", "rupee", "rupees"], "USD": ["$", "us$", "usd", "dollar", "dollars"], "EUR": ["€", "eur"], "GBP": ["£", "gbp"],
+}
 
 N = r"[-+]?\d[\d,]*\.?\d*"
 _MONTHS = "['jan','feb','mar','apr','may','jun','jul','aug','sep','oct','nov','dec']"
@@ -13,12 +23,12 @@ def _word(low: str, w: str, tail: str = "") -> str:
 
 
 def currency(low: str) -> str:
-    tests = [f"WHEN {f'contains({low}, {chr(39)}{t}{chr(39)})' if t in SYMBOLS else _word(low, t)} THEN '{c}'" for t, c in CURRENCIES.items()]
+    tests = [f"WHEN {f'contains({low}, {chr(39)}{t}{chr(39)})' if t in '₹$€£' else _word(low, t)} THEN '{c}'" for c, tokens in TOKENS.items() for t in tokens]
     return f"CASE {' '.join(tests)} END"
 
 
 def scale(low: str) -> str:
-    return "CASE " + " ".join(f"WHEN {_word(low, w, 's?')} THEN {SCALES[w]!r}::DOUBLE" for w in sorted(SCALES, key=len, reverse=True)) + " END"
+    return "CASE " + " ".join(f"WHEN {_word(low, w, 's?')} THEN {SCALE_WORDS[w]!r}::DOUBLE" for w in sorted(SCALE_WORDS, key=len, reverse=True)) + " END"
 
 
 def _num(e: str) -> str:
@@ -81,3 +91,17 @@ def comparable(a: str, b: str) -> str:
 
 def agree(a: str, b: str) -> str:
     return f"coalesce({comparable(a, b)} = 'comparable' AND ({a}.value = {b}.value OR abs({a}.value - {b}.value) / nullif(greatest(abs({a}.value), abs({b}.value)), 0) <= 0.01), false)"
+
+
+#: What the slots of a prompt hold, of facts a and b (with doc, their document's name).
+PROMPT_SLOTS = {"signals": "'- similarity ' || similarity::DECIMAL(18, 3)::DECIMAL(18, 2)"}
+for _s in ("a", "b"):
+    PROMPT_SLOTS |= {
+        f"{_s}_document": f"{_s}.doc", f"{_s}_page": f"{_s}.page", f"{_s}_subject": f"{_s}.subject", f"{_s}_predicate": f"{_s}.predicate", f"{_s}_qualifiers": f"'status=' || {_s}.status",
+        f"{_s}_value": f"{_s}.value_raw", f"{_s}_period": f"{_s}.period_raw", f"{_s}_quote": f"replace({_s}.source_quote, chr(34), chr(39))",
+    }
+
+
+def prompt(template: str) -> str:
+    parts = re.split(r"\{([a-z_]+)\}", template)
+    return " || ".join(f"coalesce(({PROMPT_SLOTS[p]})::VARCHAR, '')" if i % 2 else "'" + p.replace("'", "''") + "'" for i, p in enumerate(parts))

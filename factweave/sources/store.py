@@ -6,6 +6,11 @@ changes nothing; overwrites are written beside the table and then take its place
 
 from __future__ import annotations
 
+import contextlib
+import tempfile
+import time
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -36,15 +41,42 @@ def kept_documents(documents: DataFrame, facts: DataFrame) -> DataFrame:
     return documents.join(facts.select("doc_id"), "doc_id", "left_semi")
 
 
+#: Documents whose ids share a block are summed up together.
+BLOCK = 4096
+
+
 def numbered_facts(facts: DataFrame, first: int = 1) -> DataFrame:
     """fact_id from the order of doc_id, chunk and ordinal: the same for any partitioning. Ranks are taken
-    inside documents and moved by the documents' counts, so no task sorts all facts."""
-    counts = facts.groupBy("doc_id").agg(F.count("*").alias("n"))
-    before = counts.withColumn("before", F.sum("n").over(Window.orderBy("doc_id")) - F.col("n")).drop("n")
+    inside documents and moved by the counts of the documents before, which are summed by blocks of ids first, so no task
+    sorts all facts or all documents."""
+    counts = facts.groupBy("doc_id").agg(F.count("*").alias("n")).withColumn("block", F.floor(F.col("doc_id") / BLOCK))
+    blocks = counts.groupBy("block").agg(F.sum("n").alias("m"))
+    blocks = blocks.select("block", (F.sum("m").over(Window.orderBy("block")) - F.col("m")).alias("base"))  # one row a block
+    inside = F.sum("n").over(Window.partitionBy("block").orderBy("doc_id")) - F.col("n")
+    before = counts.withColumn("inside", inside).join(blocks, "block").select("doc_id", (F.col("base") + F.col("inside")).alias("before"))
     rank = F.row_number().over(Window.partitionBy("doc_id").orderBy("chunk", "ordinal"))
     return facts.join(before, "doc_id").withColumn("fact_id", F.col("before") + rank + (first - 1)).drop("before")
 
 
+def shared_home(spark: SparkSession, name: str) -> str:
+    """A fresh folder that driver and executors share: below spark.checkpoint.dir, else in the warehouse; a temp folder only
+    where all of Spark is this process."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base and spark.sparkContext.master.startswith("local"):
+        base = f"file://{tempfile.gettempdir()}/factweave"
+    return f"{(base or spark.conf.get('spark.sql.warehouse.dir')).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+def aged(spark: SparkSession, path: str, folder: str, step_ms: int = 10000) -> None:
+    """Make the files below path/<folder>=n the older the smaller n is. Only their times are touched."""
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    fs = hadoop(path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    files = fs.globStatus(hadoop(f"{path}/{folder}=*/*"))
+    numbered = sorted((int(f.getPath().getParent().getName().split("=")[1]), f.getPath().toString()) for f in files)
+    for back, (_, name) in enumerate(reversed(numbered)):
+        fs.setTimes(hadoop(name), int(time.time() * 1000) - back * step_ms, -1)
+
+
 class Store:
     def __init__(self, spark: SparkSession, path: str):
         self.spark, self.path = spark, path.rstrip("/")
@@ -54,8 +86,15 @@ class Store:
         target = jvm.org.apache.hadoop.fs.Path(path)
         return target.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()), target
 
+    def _moved(self, old: str, new: str) -> bool:
+        fs, source = self._fs(f"{self.path}/{old}")
+        return fs.exists(source) and fs.rename(source, self._fs(f"{self.path}/{new}")[1])
+
     def read(self, table: str) -> DataFrame:
         fs, target = self._fs(f"{self.path}/{table}")
+        if not fs.exists(target):
+            # An overwrite was cut off between its two renames: it is finished now.
+            self._moved(f".{table}-next", table) or self._moved(f".{table}-old", table)
         if not fs.exists(target):
             return self.spark.createDataFrame([], TABLES[table])
         return self.spark.read.schema(TABLES[table]).parquet(f"{self.path}/{table}")
@@ -71,8 +110,11 @@ class Store:
     def append_facts(self, rows: DataFrame) -> None:
         self.append("facts", rows.join(self.read("facts").select("fact_id"), "fact_id", "left_anti"))
 
+    def fresh_relations(self, rows: DataFrame) -> DataFrame:
+        return new_relations(rows, self.read("relations"))
+
     def append_relations(self, rows: DataFrame) -> None:
-        self.append("relations", new_relations(rows, self.read("relations")))
+        self.append("relations", self.fresh_relations(rows))
 
     def clear(self, table: str) -> int:
         """Delete all rows; how many there were."""
@@ -92,7 +134,24 @@ class Store:
             self.overwrite(table, rows)
 
     def overwrite(self, table: str, rows: DataFrame) -> None:
+        """The rows in place of the table's. The old table moves aside once the new one is whole, and goes last."""
         rows.write.mode("overwrite").parquet(f"{self.path}/.{table}-next")
-        fs, target = self._fs(f"{self.path}/{table}")
+        self._drop(f".{table}-old")
+        self._moved(table, f".{table}-old")
+        if not self._moved(f".{table}-next", table):
+            raise OSError(f"{self.path}/{table} could not be replaced")
+        self._drop(f".{table}-old")
+
+    def _drop(self, name: str) -> None:
+        fs, target = self._fs(f"{self.path}/{name}")
         fs.delete(target, True)
-        fs.rename(self._fs(f"{self.path}/.{table}-next")[1], target)
+
+    @contextlib.contextmanager
+    def scratch(self, rows: DataFrame):
+        """rows, written once to a folder of the store that goes at the end."""
+        name = f".scratch-{uuid.uuid4().hex}"
+        rows.write.parquet(f"{self.path}/{name}")
+        try:
+            yield self.spark.read.schema(rows.schema).parquet(f"{self.path}/{name}")
+        finally:
+            self._drop(name)
