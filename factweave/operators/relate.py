@@ -12,6 +12,8 @@ from ..functions.text import or_else
 from ..sources.boundary import valid_type
 
 FACT = ["fact_id", "doc_id", "subject", "value_raw", "value_num", "unit", "dimension", "period_raw", "period_start", "period_end", "period_kind"]
+#: What prompts and events also show of a fact, where it is there.
+SHOWN = ["page", "predicate", "qualifiers", "source_quote", "grounding"]
 
 
 def quantity_of(f: Column) -> Column:
@@ -63,7 +65,7 @@ def budgeted(pairs: DataFrame, budget: int = 60) -> DataFrame:
 
 def decided(pairs: DataFrame, facts: DataFrame, config: Config = Config()) -> DataFrame:
     """Candidate pairs (a_id, b_id, a_doc, similarity, rank) with facts' structs, verdict and status."""
-    side = lambda n: facts.select(F.struct(*FACT).alias(n))
+    side = lambda n: facts.select(F.struct(*FACT, *[c for c in SHOWN if c in facts.columns]).alias(n))
     d = pairs.join(side("a"), F.col("a_id") == F.col("a.fact_id")).join(side("b"), F.col("b_id") == F.col("b.fact_id"))
     return budgeted(gated(classified(d, config.tolerance), config.rule_floor), config.budget)
 

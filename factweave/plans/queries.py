@@ -2,16 +2,22 @@
 
 from __future__ import annotations
 
+import re
+
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..config import Config
 from ..functions import period, quantity, text
 from ..operators import grounding, relate, similarity
-from ..sources import boundary, store
+from ..operators.facts import assembled_facts, with_period
+from ..sources import boundary, prompts, store
+from ..sources.store import Store, shared_home
 from ..sources import pages as P
 from . import adapters as A
 from . import oracle_parts as O
+from ..streaming.ingest import ingest_batch, ingest_stream, read_events
 from . import replay, report, serve
 
 QUERIES: dict = {}
@@ -79,13 +85,26 @@ def q_table_render(spark, d):
 
 # --- quantities and periods ------------------------------------------------------------------------
 
-SAMPLES_Q = f"WITH s AS ({A.values(A.QUANTITIES, 'raw', 'hint')}), {O.quantity('s', 'hint')}"
-SAMPLES_P = f"WITH s AS ({A.values(A.PERIODS, 'raw', 'convention')}), {O.period('s', 'convention')}"
+SAMPLES_Q = f"WITH s AS ({A.dealt(A.QUANTITIES, 'hint')}), {O.quantity('s', 'hint')}"
+SAMPLES_P = f"WITH s AS ({A.dealt(A.PERIODS, 'convention')}), {O.period('s', 'convention')}"
+#: The same samples on both sides of a pair: parsed as CTEs (a) and (b).
+_PAIR = "WITH s AS (SELECT id, raw, {kind} FROM ({dealt})), {parse}, s2 AS (SELECT id, other_raw AS raw, other_{kind} AS {kind} FROM ({dealt})), {parse2}"
+
+
+def _paired(samples, kind: str, parse, names: str) -> str:
+    dealt, second = A.dealt(samples, kind), parse("s2", kind)
+    for name in names.split():
+        second = second.replace(f"{name} AS (SELECT", f"{name}_2 AS (SELECT").replace(f"FROM {name})", f"FROM {name}_2)").replace(f"FROM {name} ", f"FROM {name}_2 ")
+    return _PAIR.format(kind=kind, dealt=dealt, parse=parse("s", kind), parse2=second) 
+
+
+PAIRS_Q = _paired(A.QUANTITIES, "hint", O.quantity, "q0 q1 q")
+PAIRS_P = _paired(A.PERIODS, "convention", O.period, "p0 p1 p2 p3 p4 p")
 
 
 @query(f"{SAMPLES_Q} SELECT id, value, unit, dimension FROM q")
 def q_quantity_samples(spark, d):
-    return A.quantity_samples(spark).select("id", quantity.parse_quantity(F.col("raw"), F.col("hint")).alias("q")).select("id", "q.value", "q.unit", "q.dimension")
+    return A.quantity_samples(spark, d).select("id", quantity.parse_quantity(F.col("raw"), F.col("hint")).alias("q")).select("id", "q.value", "q.unit", "q.dimension")
 
 
 @query(f"{PARSED} SELECT fact_id, value, unit, dimension FROM q")
@@ -95,29 +114,25 @@ def q_parse_quantity(spark, d):
 
 @query(f"{SAMPLES_Q} SELECT id, hc AS currency, hs AS scale FROM q")
 def q_unit_hint(spark, d):
-    return A.quantity_samples(spark).select("id", quantity.parse_unit_hint(F.col("hint")).alias("h")).select("id", "h.currency", "h.scale")
+    return A.quantity_samples(spark, d).select("id", quantity.parse_unit_hint(F.col("hint")).alias("h")).select("id", "h.currency", "h.scale")
 
 
 @query(f"{SAMPLES_Q} SELECT id, sgn AS sign, cur AS currency, sc AS scale FROM q WHERE raw IS NOT NULL")
 def q_sign_currency_scale(spark, d):
     low = F.lower(quantity.stripped(F.col("raw")))
-    return A.quantity_samples(spark).where("raw is not null").select("id", quantity.sign_of(low).alias("sign"), quantity.currency_of(low).alias("currency"), quantity.scale_of(low).alias("scale"))
-
+    return A.quantity_samples(spark, d).where("raw is not null").select("id", quantity.sign_of(low).alias("sign"), quantity.currency_of(low).alias("currency"), quantity.scale_of(low).alias("scale"))
 
-def _pairs(df: DataFrame) -> DataFrame:
-    """Each sample with each (a fixed list)."""
-    return df.select(F.col("id").alias("i"), F.col("x").alias("a")).join(F.broadcast(df.select(F.col("id").alias("j"), F.col("x").alias("b"))), F.col("i") <= F.col("j"))
 
-
-@query(f"{SAMPLES_Q} SELECT a.id AS i, b.id AS j, {O.comparable('a', 'b')} AS why, {O.agree('a', 'b')} AS agree FROM q a JOIN q b ON a.id <= b.id")
+@query(f"{PAIRS_Q} SELECT a.id, {O.comparable('a', 'b')} AS why, {O.agree('a', 'b')} AS agree FROM q a JOIN q_2 b USING (id)")
 def q_values_compared(spark, d):
-    s = _pairs(A.quantity_samples(spark).select("id", quantity.parse_quantity(F.col("raw"), F.col("hint")).alias("x")))
-    return s.select("i", "j", quantity.comparability(F.col("a"), F.col("b")).alias("why"), quantity.values_agree(F.col("a"), F.col("b")).alias("agree"))
+    parsed = lambda raw, hint: quantity.parse_quantity(F.col(raw), F.col(hint))
+    s = A.quantity_samples(spark, d).select("id", parsed("raw", "hint").alias("a"), parsed("other_raw", "other_hint").alias("b"))
+    return s.select("id", quantity.comparability(F.col("a"), F.col("b")).alias("why"), quantity.values_agree(F.col("a"), F.col("b")).alias("agree"))
 
 
 @query(f"{SAMPLES_P} SELECT id, start::VARCHAR AS start, end_::VARCHAR AS end_, kind FROM p")
 def q_period_samples(spark, d):
-    return A.period_samples(spark).select("id", period.parse_period(F.col("raw"), F.col("convention")).alias("p")).select("id", F.col("p.start").cast("string").alias("start"), F.col("p.end").cast("string").alias("end_"), "p.kind")
+    return with_period(A.period_samples(spark, d), "p", "raw", "convention").select("id", F.col("p.start").cast("string").alias("start"), F.col("p.end").cast("string").alias("end_"), "p.kind")
 
 
 @query(f"{PARSED} SELECT fact_id, start::VARCHAR AS start, end_::VARCHAR AS end_, kind FROM p")
@@ -125,10 +140,10 @@ def q_parse_period(spark, d):
     return A.facts(spark, d).select("fact_id", F.col("period_start").cast("string").alias("start"), F.col("period_end").cast("string").alias("end_"), F.col("period_kind").alias("kind"))
 
 
-@query(f"{SAMPLES_P} SELECT a.id AS i, b.id AS j, {O.relation('a', 'b')} AS relation FROM p a JOIN p b ON a.id <= b.id")
+@query(f"{PAIRS_P} SELECT a.id, {O.relation('a', 'b')} AS relation FROM p a JOIN p_2 b USING (id)")
 def q_periods_relation(spark, d):
-    s = _pairs(A.period_samples(spark).select("id", period.parse_period(F.col("raw"), F.col("convention")).alias("x")))
-    return s.select("i", "j", period.periods_relation(F.col("a"), F.col("b")).alias("relation"))
+    s = with_period(with_period(A.period_samples(spark, d), "a", "raw", "convention"), "b", "other_raw", "other_convention")
+    return s.select("id", period.periods_relation(F.col("a"), F.col("b")).alias("relation"))
 
 
 # --- grounding -------------------------------------------------------------------------------------
@@ -168,7 +183,7 @@ def q_verify_fuzzy(spark, d):
 
 @query()
 def q_ground_facts(spark, d):
-    q = A.quotes(spark, d).drop("page_text").withColumn("start_page", F.lit(1)).withColumn("end_page", F.lit(10)).withColumn("page", F.when(F.col("fact_id") % 3 == 0, F.col("page") + 1).otherwise(F.col("page")))
+    q = A.quotes(spark, d).drop("page_text").withColumn("start_page", F.expr("(page - 1) div 10 * 10 + 1").cast("int")).withColumn("end_page", F.col("start_page") + 9).withColumn("page", F.when(F.col("fact_id") % 3 == 0, F.col("page") + 1).otherwise(F.col("page")))
     return grounding.ground_facts(q, A.pages(spark, d)).select("fact_id", "page", "grounding", "quote_score", "quote_verified")
 
 
@@ -261,15 +276,14 @@ def q_replay_totals(spark, d):
     return report.replay_totals(replay.replay_pairs(A.vector_facts(spark, d), REPLAY))
 
 
-@query(f"""{WITH_FACTS}, c AS (SELECT fact_b_id AS fact_a_id, fact_a_id AS fact_b_id, similarity FROM rels WHERE fact_a_id % 2 = 0 UNION ALL SELECT fact_a_id + 1, fact_b_id, similarity FROM rels UNION ALL SELECT fact_b_id, fact_a_id + 1, similarity - 1 FROM rels)
-SELECT c.fact_a_id, c.fact_b_id FROM c WHERE similarity >= 0 AND NOT EXISTS (SELECT 1 FROM rels r WHERE (r.fact_a_id = c.fact_a_id AND r.fact_b_id = c.fact_b_id) OR (r.fact_a_id = c.fact_b_id AND r.fact_b_id = c.fact_a_id))""")
+@query(f"""{WITH_FACTS}, c AS (SELECT fact_b_id AS fact_a_id, fact_a_id AS fact_b_id, similarity FROM rels UNION ALL SELECT fact_a_id + 1, fact_b_id, similarity FROM rels UNION ALL SELECT fact_b_id, fact_a_id + 1, similarity - 1 FROM rels)
+SELECT c.fact_a_id, c.fact_b_id FROM c WHERE similarity >= 0 AND (least(c.fact_a_id, c.fact_b_id), greatest(c.fact_a_id, c.fact_b_id)) NOT IN (SELECT (least(fact_a_id, fact_b_id), greatest(fact_a_id, fact_b_id)) FROM rels)""")
 def q_relations_dedupe(spark, d):
     r = A.relations(spark, d)
     turned = r.select(F.col("fact_b_id").alias("fact_a_id"), F.col("fact_a_id").alias("fact_b_id"), "similarity")
     moved = r.select((F.col("fact_a_id") + 1).alias("fact_a_id"), "fact_b_id", "similarity")
     again = moved.select(F.col("fact_b_id").alias("fact_a_id"), F.col("fact_a_id").alias("fact_b_id"), (F.col("similarity") - 1).alias("similarity"))
-    c = turned.where("fact_b_id % 2 = 0").unionByName(moved).unionByName(again)
-    return store.new_relations(c, r).select("fact_a_id", "fact_b_id")
+    return store.new_relations(turned.unionByName(moved).unionByName(again), r).select("fact_a_id", "fact_b_id")
 
 
 @query("SELECT o_orderkey AS id, CASE WHEN o_orderpriority = '1-URGENT' THEN 'contradicts' ELSE 'needs_review' END AS relation_type FROM orders")
@@ -360,9 +374,13 @@ def q_stats_fact_types(spark, d):
     return serve.top_fact_types(A.facts(spark, d))
 
 
-@query()
+@query(f"""{WITH_FACTS}, r AS (SELECT relation_type, decided_by, count(*) AS c FROM rels GROUP BY ALL), t AS (SELECT fact_type, count(*) AS c FROM raw_facts GROUP BY 1 ORDER BY c DESC, fact_type LIMIT 20)
+SELECT {COUNTS}, (SELECT string_agg(relation_type || '/' || decided_by || '=' || c, ',' ORDER BY relation_type, decided_by) FROM r) AS by_relation, (SELECT string_agg(fact_type || '=' || c, ',' ORDER BY fact_type) FROM t) AS by_fact_type""")
 def q_stats(spark, d):
-    return serve.stats(A.documents(spark, d), A.facts(spark, d), A.relations(spark, d))
+    s = serve.stats(A.documents(spark, d), A.facts(spark, d), A.relations(spark, d))
+    named = lambda name, text: F.array_join(F.transform(name, text), ",").alias(name)
+    relation = named("by_relation", lambda x: F.concat(x["relation_type"], F.lit("/"), x["decided_by"], F.lit("="), x["c"].cast("string")))
+    return s.withColumns({"by_relation": relation, "by_fact_type": named("by_fact_type", lambda x: F.concat(x["fact_type"], F.lit("="), x["c"].cast("string")))})
 
 
 # --- reports ---------------------------------------------------------------------------------------
@@ -374,7 +392,14 @@ def q_report_cases(spark, d):
     return report.cases(A.relations(spark, d)).select("case", F.col("n").cast("long").alias("n"), "fact_a_id", "fact_b_id")
 
 
-@query()
+_SIDE = """'    {T}: ' || {t}.subject || ' · ' || {t}.predicate || ' = ' || coalesce(nullif({t}.value_raw, ''), '(non-numeric)') || '  [' || coalesce(nullif({t}.period_raw, ''), 'no period') || ']' || chr(10) || '       source: ' || coalesce(nullif({t}.title, ''), {t}.filename) || ' p.' || {t}.page || '  (' || {t}.grounding || ')' || chr(10) || '       quote : "' || substr(coalesce({t}.source_quote, ''), 1, 150) || '"'"""
+
+
+@query(f"""{WITH_FACTS}, c AS (SELECT *, CASE WHEN relation_type = 'corroborates' THEN '1. CORROBORATED ACROSS DOCUMENTS' WHEN relation_type = 'contradicts' THEN '2. CONTRADICTION' WHEN relation_type LIKE 'reconciled%' THEN '3. RECONCILED BY CONTEXT' ELSE '4. UNRESOLVED / NEEDS REVIEW' END AS "case" FROM rels),
+top AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY "case" ORDER BY (decided_by = 'llm') DESC, confidence DESC, fact_a_id, fact_b_id) AS n FROM c) WHERE n <= 2),
+fd AS (SELECT f.*, filename, title FROM raw_facts f JOIN docs USING (doc_id))
+SELECT "case", n, concat_ws(chr(10), '  [' || relation_type || '] decided_by=' || decided_by || ' sim=' || printf('%.3f', top.similarity) || ' conf=' || top.confidence, {_SIDE.format(T='A', t='a')}, {_SIDE.format(T='B', t='b')}, '    reasoning: ' || coalesce(explanation, '')) AS text
+FROM top LEFT JOIN fd a ON a.fact_id = fact_a_id LEFT JOIN fd b ON b.fact_id = fact_b_id""")
 def q_report_text(spark, d):
     return report.shown(serve.with_sides(report.cases(A.relations(spark, d)), A.facts(spark, d), A.documents(spark, d))).select("case", "n", "text")
 
@@ -395,14 +420,91 @@ def q_batch_counters(spark, d):
     return report.batch_counters(A.facts(spark, d), A.relations(spark, d))
 
 
+# --- from pages to relations --------------------------------------------------------------------------
+
+
+class PageReader:
+    """A model's stand-in: of each page in an excerpt, its first 60 characters as a fact about the page. It fails on
+    excerpts that begin at page 21."""
+
+    def ask(self, prompt: str) -> dict:
+        body = prompt.split("EXCERPT:\n", 1)[1]
+        pages = re.findall(r"\[\[page (\d+)\]\]\n([^\n]*)", body)
+        if pages[0][0] == "21":
+            raise ValueError("this excerpt can't be read")
+        return {"facts": [{"fact_type": "opening", "subject": f"page {n}", "predicate": "begins", "qualifiers": [], "value_raw": "", "period_raw": "", "page": int(n), "quote": line[:60], "confidence": 0.5} for n, line in pages]}
+
+
+def _read(spark, d):
+    """(documents, pages, chunks, answers) of the whole documents table, through prompts and the stand-in."""
+    pages = A.pages(spark, d)
+    documents = A.table(spark, d, "documents").select("doc_id", F.concat("doc_id", F.lit(".pdf")).alias("filename"))
+    documents = boundary.document_context(documents.where("doc_id is not null"), None)
+    chunks = P.chunks(pages)
+    answers = boundary.extracted_chunks(chunks, documents, PageReader, per_minute=float("inf"), retries=1)
+    home = shared_home(spark, "answers")
+    answers.write.parquet(home)
+    return documents, pages, chunks, spark.read.schema(answers.schema).parquet(home)
+
+
+#: Pages of chunks that the stand-in reads, numbered inside their chunk.
+READ = rf"""{WITH_PAGES}, nb AS (SELECT *, ((page - 1) // 10)::INT AS chunk FROM pg WHERE regexp_matches(combined, '\S')),
+ch AS (SELECT doc_id, chunk, min(page) AS start_page, max(page) AS end_page FROM nb GROUP BY ALL),
+rd AS (SELECT nb.*, row_number() OVER (PARTITION BY nb.doc_id, chunk ORDER BY page) - 1 AS ordinal, substr(string_split(combined, chr(10))[1], 1, 60) AS quote FROM nb JOIN ch USING (doc_id, chunk) WHERE start_page <> 21)"""
+
+
+@query(f"{READ} SELECT doc_id, chunk, ordinal::INT AS ordinal, page, 'page ' || page AS subject, quote FROM rd")
+def q_extract_facts(spark, d):
+    return boundary.raw_facts(_read(spark, d)[3]).select("doc_id", "chunk", "ordinal", "page", "subject", "quote")
+
+
+@query(f"""{READ}, f AS (SELECT doc_id, count(*) AS n FROM rd WHERE quote <> '' GROUP BY doc_id), dd AS (SELECT DISTINCT doc_id FROM documents WHERE doc_id IS NOT NULL),
+e AS (SELECT doc_id, 'doc' AS event, 1 AS n, NULL::BIGINT AS facts FROM dd UNION ALL SELECT DISTINCT doc_id, 'plan', 1, NULL FROM ch UNION ALL SELECT doc_id, 'note', count(*), NULL FROM ch WHERE start_page = 21 GROUP BY doc_id
+UNION ALL SELECT doc_id, 'fact', n, NULL FROM f UNION ALL SELECT doc_id, 'done', 1, n FROM f UNION ALL SELECT doc_id, 'error', 1, NULL FROM dd WHERE doc_id NOT IN (SELECT doc_id FROM f))
+SELECT * FROM e""")
+def q_ingest_events(spark, d):
+    """All documents from pages to stored facts in one batch; its events by document and kind, and what done tells."""
+    documents, pages, chunks, answers = _read(spark, d)
+    home = shared_home(spark, "ingest")
+    s = Store(spark, f"{home}/store")
+    embed = lambda keys: np.zeros((len(keys), 2), np.float32)  # noqa: E731  nothing is alike: no relations are looked for
+    facts = assembled_facts(boundary.raw_facts(answers), pages, chunks, documents, embed=embed)
+    with s.scratch(facts) as written:
+        ingest_batch(s, documents, written, config=Config(floor=0.5), chunks=answers, write_events=lambda e: e.select("line").write.text(f"{home}/events"))
+    e = read_events(spark, f"{home}/events")
+    return e.groupBy("doc_id", "event").agg(F.count("*").alias("n"), F.max(F.col("totals")["facts"]).alias("facts"))
+
+
+@query(f"""{WITH_FACTS}, fd AS (SELECT f.*, coalesce(title, filename) AS doc FROM raw_facts f JOIN docs USING (doc_id))
+SELECT fact_a_id, fact_b_id, {O.prompt(prompts.ADJUDICATION)} AS prompt FROM rels JOIN fd a ON a.fact_id = fact_a_id JOIN fd b ON b.fact_id = fact_b_id""")
+def q_adjudication_prompts(spark, d):
+    f = A.raw_facts(spark, d)
+    side = lambda n: f.select(F.struct("fact_id", "doc_id", *relate.SHOWN, "subject", "value_raw", "period_raw").alias(n))
+    r = A.relations(spark, d).join(side("a"), F.col("fact_a_id") == F.col("a.fact_id")).join(side("b"), F.col("fact_b_id") == F.col("b.fact_id"))
+    r = r.withColumn("signals", F.concat(F.lit("- similarity "), text.decimals(F.col("similarity"), 2)))
+    return prompts.with_documents(r, A.documents(spark, d)).select("fact_a_id", "fact_b_id", prompts.adjudication().alias("prompt"))
+
+
+@query(f"""{WITH_FACTS} SELECT fact_a_id, fact_b_id, CASE relation_type WHEN 'corroborates' THEN 'Corroborates' WHEN 'contradicts' THEN 'Contradicts' WHEN 'reconciled_time' THEN 'Reconciled · time' WHEN 'reconciled_units' THEN 'Reconciled · units' ELSE 'Needs review' END AS label,
+similarity::DECIMAL(18, 3)::DECIMAL(18, 2)::VARCHAR AS sim, (round(confidence * 100)::BIGINT) || '%' AS conf, substr(explanation, 1, 10) AS short FROM rels""")
+def q_relation_display(spark, d):
+    r = A.relations(spark, d)
+    return r.select("fact_a_id", "fact_b_id", text.relation_label(F.col("relation_type")).alias("label"), text.decimals(F.col("similarity"), 2).alias("sim"), text.percent(F.col("confidence")).alias("conf"), text.clipped(F.col("explanation"), 10).alias("short"))
+
+
+@query(f"{WITH_FACTS} SELECT fact_id, subject FROM raw_facts ORDER BY fact_id DESC LIMIT 60")
+def q_newest_facts(spark, d):
+    return serve.newest(A.raw_facts(spark, d).select("fact_id", "subject"), "fact_id")
+
+
 # --- ingest ----------------------------------------------------------------------------------------
 
 
-@query("SELECT o_orderkey || '.PDF' AS filename FROM orders WHERE NOT EXISTS (SELECT 1 FROM lineitem WHERE l_orderkey = o_orderkey AND l_linenumber = 1)")
+@query("SELECT o_orderkey || '.PDF' AS filename FROM orders WHERE o_orderkey NOT IN (SELECT doc_id FROM documents WHERE doc_id IS NOT NULL)")
 def q_skip_ingested(spark, d):
-    name = lambda t, k: A.table(spark, d, t).select(F.concat(F.col(k).cast("string"), F.lit(".PDF")).alias("filename"), "*")
+    name = lambda t, k: A.table(spark, d, t).select(F.concat(F.col(k).cast("string"), F.lit(".PDF")).alias("filename"))
     files = name("orders", "o_orderkey").where(P.is_wanted_file(F.col("filename")))
-    return store.not_yet_ingested(files, name("lineitem", "l_orderkey").where("l_linenumber = 1")).select("filename")
+    return store.not_yet_ingested(files, name("documents", "doc_id")).select("filename")
 
 
 @query(f"{WITH_FACTS} SELECT doc_id, filename FROM docs WHERE doc_id IN (SELECT doc_id FROM raw_facts)")
@@ -432,25 +534,16 @@ def q_errors(spark, d):
 @query(f"""{REPLAYED} SELECT a_id AS fact_a_id, b_id AS fact_b_id, relation_type, round(s, 6) AS similarity FROM bud WHERE status = 'rule'""")
 def q_stream_ingest(spark, d):
     """Documents of vector facts one after the other through the stream; the end state equals the batch."""
-    import tempfile
-
-    from ..sources.store import Store
-    from ..streaming.ingest import ingest_stream
-
-    base = spark.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.gettempdir()}"
-    import uuid
-
-    home = f"{base.rstrip('/')}/stream-{uuid.uuid4().hex}"
-    A.vector_facts(spark, d).write.parquet(f"{home}/all")
-    f = spark.read.parquet(f"{home}/all")
-    for n in sorted(r[0] for r in f.select("doc_id").distinct().collect()):
-        f.where(F.col("doc_id") == n).coalesce(1).write.mode("append").parquet(f"{home}/in")
+    home = shared_home(spark, "stream")
+    # One file a document; the stream takes files up by age, so each is made as old as its document's place.
+    f = A.vector_facts(spark, d)
+    f.withColumn("folder", F.col("doc_id")).repartition("folder").write.partitionBy("folder").parquet(f"{home}/in")
+    store.aged(spark, f"{home}/in", "folder")
     s = Store(spark, f"{home}/store")
 
     def prepare(batch):
         docs = batch.select("doc_id").distinct().withColumn("filename", F.concat(F.col("doc_id").cast("string"), F.lit(".pdf"))).withColumn("title", F.col("filename"))
-        return docs, batch
+        return docs, batch.drop("folder")
 
-    schema = spark.read.parquet(f"{home}/in").schema
-    ingest_stream(spark, f"{home}/in", schema, s, f"{home}/checkpoint", prepare, REPLAY).awaitTermination()
+    ingest_stream(spark, f"{home}/in", f.schema, s, f"{home}/checkpoint", prepare, REPLAY).awaitTermination()
     return s.read("relations").select("fact_a_id", "fact_b_id", "relation_type", F.round("similarity", 6).alias("similarity"))

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import like_any
+from ..functions.text import like_any, qualifiers_from_json
+from ..sources.store import Store
 
 
 def with_document(facts: DataFrame, documents: DataFrame, *columns: str) -> DataFrame:
@@ -13,6 +14,14 @@ def with_document(facts: DataFrame, documents: DataFrame, *columns: str) -> Data
     return facts.join(documents.select("doc_id", *names), "doc_id")
 
 
+def served(facts: DataFrame) -> DataFrame:
+    """Facts as readers get them: no vector; qualifiers that are stored as JSON text are parsed."""
+    facts = facts.drop("embedding")
+    if dict(facts.dtypes).get("qualifiers") == "string":
+        facts = facts.withColumn("qualifiers", qualifiers_from_json(F.col("qualifiers")))
+    return facts
+
+
 def search_facts(facts: DataFrame, documents: DataFrame, doc_id: int | None = None, fact_type: str | None = None, verified: bool | None = None, grounding: str | None = None, q: str | None = None, limit: int = 200, offset: int = 0) -> DataFrame:
     """Latest facts first. Empty texts don't filter; doc_id and verified do unless None."""
     if limit > 1000:
@@ -30,13 +39,12 @@ def search_facts(facts: DataFrame, documents: DataFrame, doc_id: int | None = No
         tests.append(like_any([F.col("subject"), F.col("predicate"), F.col("source_quote")], q))
     for t in tests:
         facts = facts.where(t)
-    facts = facts.drop("embedding")
-    return with_document(facts, documents, "filename", "title").orderBy(F.desc("fact_id")).offset(offset).limit(limit)
+    return with_document(served(facts), documents, "filename", "title").orderBy(F.desc("fact_id")).offset(offset).limit(limit)
 
 
 def fact_detail(facts: DataFrame, documents: DataFrame, fact_id: int) -> DataFrame:
     """One row, or none if there is no such fact."""
-    return with_document(facts.where(F.col("fact_id") == fact_id).drop("embedding"), documents)
+    return with_document(served(facts.where(F.col("fact_id") == fact_id)), documents)
 
 
 def verified_facts(facts: DataFrame, documents: DataFrame, exclude_doc_id: int | None = None) -> DataFrame:
@@ -53,14 +61,14 @@ def both_sides(relations: DataFrame) -> DataFrame:
 def fact_relations(relations: DataFrame, facts: DataFrame, documents: DataFrame, fact_id: int) -> DataFrame:
     own = relations.where((F.col("fact_a_id") == fact_id) | (F.col("fact_b_id") == fact_id))
     own = own.withColumn("other_id", F.when(F.col("fact_a_id") == fact_id, F.col("fact_b_id")).otherwise(F.col("fact_a_id")))
-    details = with_document(facts.drop("embedding"), documents)
+    details = with_document(served(facts), documents)
     other = details.select(F.struct(*details.columns).alias("other"))
     return own.join(other, F.col("other_id") == F.col("other.fact_id"), "left").orderBy("relation_type", "fact_a_id", "fact_b_id")
 
 
 def with_sides(relations: DataFrame, facts: DataFrame, documents: DataFrame) -> DataFrame:
     """relations with both facts as structs a and b."""
-    details = with_document(facts.drop("embedding"), documents)
+    details = with_document(served(facts), documents)
     for side in ("a", "b"):
         relations = relations.join(details.select(F.struct(*details.columns).alias(side)), F.col(f"fact_{side}_id") == F.col(f"{side}.fact_id"), "left")
     return relations
@@ -107,3 +115,45 @@ def stats(documents: DataFrame, facts: DataFrame, relations: DataFrame) -> DataF
 
 def health(documents: DataFrame, facts: DataFrame, relations: DataFrame, client: bool = False) -> DataFrame:
     return counts(documents, facts, relations).select(F.lit(True).alias("ok"), F.lit(client).alias("llm"), "*")
+
+
+def newest(rows: DataFrame, by: str, n: int = 60) -> DataFrame:
+    """The latest rows, as a live list shows them."""
+    return rows.orderBy(F.desc(by)).limit(n)
+
+
+class Reader:
+    """The serving queries over a store. Parameters that are empty or None don't filter."""
+
+    def __init__(self, store: Store):
+        self.store = store
+
+    def _tables(self) -> tuple[DataFrame, DataFrame, DataFrame]:
+        return tuple(self.store.read(t) for t in ("documents", "facts", "relations"))
+
+    def health(self, client: bool = False) -> DataFrame:
+        d, f, r = self._tables()
+        return health(d, f, r, client)
+
+    def stats(self) -> DataFrame:
+        return stats(*self._tables())
+
+    def documents(self) -> DataFrame:
+        d, f, _ = self._tables()
+        return documents_overview(d, f)
+
+    def facts(self, **params) -> DataFrame:
+        d, f, _ = self._tables()
+        return search_facts(f, d, **{k: v for k, v in params.items() if v is not None and v != ""})
+
+    def fact(self, fact_id: int) -> DataFrame:
+        d, f, _ = self._tables()
+        return fact_detail(f, d, fact_id)
+
+    def relations(self, **params) -> DataFrame:
+        d, f, r = self._tables()
+        return list_relations(r, f, d, **{k: v for k, v in params.items() if v is not None and v != ""})
+
+    def fact_relations(self, fact_id: int) -> DataFrame:
+        d, f, r = self._tables()
+        return fact_relations(r, f, d, fact_id)

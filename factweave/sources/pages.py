@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
@@ -11,11 +11,19 @@ def pages_of_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
     return docs.select(F.col(doc_id).alias("doc_id"), F.posexplode(F.split(text, "\n")).alias("pos", "text")).select("doc_id", (F.col("pos") + 1).alias("page"), "text")
 
 
-def page_files(spark: SparkSession, path: str, suffix: str = ".pdf") -> DataFrame:
-    """(filename, path, content) of files with the suffix in any case, for a parser to read."""
-    files = spark.read.format("binaryFile").load(path)
+def page_files(spark: SparkSession, paths: str | list[str], suffix: str = ".pdf") -> DataFrame:
+    """(place, filename, path, content) of files with the suffix in any case, for a parser to read. paths may hold glob
+    patterns; place counts the files from 1: pattern by pattern, sorted by path inside each, each file once."""
+    paths = [paths] if isinstance(paths, str) else list(paths)
     name = F.element_at(F.split("path", "/"), -1)
-    return files.select(name.alias("filename"), "path", "content").where(is_wanted_file(F.col("filename"), suffix))
+    files = None
+    for i, pattern in enumerate(paths):
+        own = spark.read.format("binaryFile").load(pattern).select(F.lit(i).alias("argument"), name.alias("filename"), "path", "content").where(is_wanted_file(F.col("filename"), suffix))
+        files = own if files is None else files.unionByName(own)
+    # Names are few against what the files hold: only they are put in order.
+    order = files.groupBy("path").agg(F.min("argument").alias("argument"))
+    order = order.withColumn("place", F.row_number().over(Window.orderBy("argument", "path")))
+    return files.join(order, ["path", "argument"]).select("place", "filename", "path", "content")
 
 
 def extract_pages(files: DataFrame, parser, max_pages: int | None = None) -> DataFrame:
