@@ -529,6 +529,67 @@ def test_licenses_over_lines_and_several_in_a_line():
             assert [n[1:] for n in names(lines)] == [(name, 0)]
 
 
+def test_words_alike_to_polynomials(spark):
+    """Two words of 1,024 letters whose polynomial sums agree modulo 2^64 for any odd base: they are different words."""
+    bits = [bin(i).count("1") & 1 for i in range(1024)]
+    one, two = "".join("ab"[b] for b in bits), "".join("ba"[b] for b in bits)
+    line = [f"w{i}" for i in range(12)]
+    texts = [(1, " ".join([one, *line])), (2, " ".join([two, *line])), (3, " ".join([one, two, *line] * 8))]
+    d = spark.createDataFrame(texts, "doc_id long, text string")
+    out = substrings.deduplicate(d).select("doc_id", "dedup.n_words", "dedup.n_removed", F.sha2(F.coalesce("dedup.kept", F.lit("")).cast("binary"), 256))
+    same(out, brute.op10(texts))
+    items = [(1, texts[0][1])]
+    h = F.col("hits")
+    found = decontaminate.benchmark_hits(d, spark.createDataFrame(items, "item_id long, text string")).select("doc_id", h["n_words"], h["n_hit"], F.size(h["items"]), F.sha2(F.array_join(h["items"], ",").cast("binary"), 256), decontaminate.contaminated(h))
+    same(found, brute.op9(texts, items))
+    m = quality.quality_measures(F.col("text"))
+    same(d.select("doc_id", m.alias("m")).select("doc_id", "m.n_repeat_words", "m.covered_words", "m.longest_repeat"), [(r[0], r[5], r[8], r[9]) for r in brute.op6(texts)])
+    known = {r.doc_id: r.n_known for r in hmm.score_texts(d.where("doc_id < 3"), rounds=1).collect()}
+    assert known == {r[0]: r[3] for r in brute.op5_base(texts[:2])}
+
+
+def test_ids_of_other_types(spark):
+    texts = [(f"d{i}", t) for i, (_, t) in enumerate(DOCS[:40])] + [(None, DOCS[0][1]), ("d3", DOCS[5][1])]
+    d = spark.createDataFrame([(*t, 1, 2) for t in texts], "doc_id string, text string, id int, key int").repartition(3)
+    out = substrings.deduplicate(d).select("doc_id", "dedup.n_words", "dedup.n_removed", F.sha2(F.coalesce("dedup.kept", F.lit("")).cast("binary"), 256))
+    order = {k: i for i, k in enumerate(sorted({t[0] for t in texts if t[0]}))}
+    expected = brute.op10([(order.get(k), t) for k, t in texts])
+    names = {i: k for k, i in order.items()}
+    same(out, [(names.get(r[0]), *r[1:]) for r in expected])
+    scores = hmm.score_texts(d, rounds=1)
+    assert scores.columns[0] == "doc_id" and sorted((r.doc_id for r in scores.collect()), key=str) == sorted((t[0] for t in texts), key=str)
+    kept = {r.doc_id for r in neardup.one_of_each(d).collect()}
+    assert kept <= {t[0] for t in texts} and mixing.mix(d.withColumn("source", F.lit("s"))).count() >= 0
+
+
+def test_quality_only_by_the_method(spark):
+    """A document that the base rule keeps and repeats reject, by their share and by the longest one."""
+    rng = random.Random(3)
+    fresh = lambda n: [f"x{rng.random()}" for _ in range(n)]
+    part, long = fresh(9), fresh(20)
+    texts = [(1, fresh(300)), (2, part + fresh(20) + part + fresh(20) + part + fresh(20)), (3, long + fresh(60) + long + fresh(50)), (4, part + fresh(200) + part)]
+    texts = [(i, " ".join(t)) for i, t in texts]
+    d = spark.createDataFrame([(*t, 0, "c") for t in texts], "doc_id long, text string, m int, n_words string")
+    out = d.withColumn("q", quality.quality_measures(F.col("text"))).select("doc_id", *quality.verdict(F.col("q"))).collect()
+    assert {r[0]: (r[1], r[2]) for r in out} == {1: (False, True), 2: (False, False), 3: (False, False), 4: (False, True)}
+    assert [(r[6], r[7]) for r in brute.op6(texts)] == [(False, True), (False, False), (False, False), (False, True)]
+
+
+def test_long_urls_and_other_columns(spark):
+    rng = random.Random(2)
+    long = "http://example.com/en/" + "".join(chr(rng.randrange(0x21, 0x7F)) for _ in range(200000)).replace("?", "a").replace("#", "b")
+    rows_ = [(1, long, "p" * 200, "x"), (2, "http://b/", "p" * 200, "y"), (2, "http://b/", "p" * 200, "y"), (3, long, "q", None)]
+    pages = spark.createDataFrame(rows_, "page_id long, url string, html string, key string").withColumn("p", F.lit(1)).withColumn("value", F.lit(2))
+    path = shared_folder(spark, "warc-long")
+    warc.write_warc(pages, path)
+    out = warc.read_warc(spark, path, 5000).select("record_id", "record_type", "refers_to", "payload_bytes", F.length("target_uri")).collect()
+    assert sorted((r[0], r[1], r[2], r[3]) for r in out) == [("urn:page:1", "response", None, 200), ("urn:page:2", "revisit", "urn:page:1", 200), ("urn:page:2", "revisit", "urn:page:1", 200), ("urn:page:3", "response", None, 1)]
+    assert min(r[4] for r in out if r[0] != "urn:page:2") >= 200000
+    rules = spark.createDataFrame(urls.RULES, "verdict string, host string, path string")
+    judged = urls.judge_urls(pages.withColumn("h", F.lit(1)).withColumn("digest", F.lit(1)), rules).collect()
+    assert {(r.page_id, r.verdict) for r in judged} == {(1, "block"), (2, "allow"), (3, "block")} and len(judged) == 4
+
+
 def test_pipeline(spark, docs):
     import corpus_pipeline as c
 
@@ -539,11 +600,15 @@ def test_pipeline(spark, docs):
     out = c.run(spark, path).collect()
     # Quality keeps what brute force keeps; one of each group; no benchmark passage is left.
     kept = [(r[0], r[1]) for r, q in zip(DOCS, brute.op6(DOCS), strict=True) if q[7]]
-    least = {r[2] for r in brute.op3(kept)}
-    assert {r.doc_id for r in out} <= least
+    assert {r.doc_id for r in out} <= {d for d, _ in kept}
     assert not any(PASSAGE in r.text for r in out)
     assert set(documents.columns) < set(out[0].asDict())
     assert [n for n, _ in c.STAGES] == ["quality", "near_duplicates", "decontamination", "mixing", "sharding"]
+    clash = documents.limit(40).withColumns({c: F.lit(1) for c in ("n", "rate", "before", "block", "f", "places", "hits", "m", "slot", "key", "id")})
+    for _, stage in c.STAGES[:-1]:
+        assert stage(spark, clash, path).columns == clash.columns
+        assert stage(spark, clash.drop("n_chars", "lang"), path).columns == [x for x in clash.columns if x not in ("n_chars", "lang")]
+    assert {"shard", "slot"} <= set(c.shards(spark, clash, path).columns)
     none = documents.limit(0)
     for _, stage in c.STAGES:
         assert stage(spark, none, path).count() == 0
