@@ -109,7 +109,7 @@ def q_quantity_samples(spark, d):
 
 @query(f"{PARSED} SELECT fact_id, value, unit, dimension FROM q")
 def q_parse_quantity(spark, d):
-    return A.facts(spark, d).select("fact_id", F.col("value_num").alias("value"), "unit", "dimension")
+    return A.raw_facts(spark, d).select("fact_id", quantity.parse_quantity(F.col("value_raw")).alias("q")).select("fact_id", "q.value", "q.unit", "q.dimension")
 
 
 @query(f"{SAMPLES_Q} SELECT id, hc AS currency, hs AS scale FROM q")
@@ -137,7 +137,7 @@ def q_period_samples(spark, d):
 
 @query(f"{PARSED} SELECT fact_id, start::VARCHAR AS start, end_::VARCHAR AS end_, kind FROM p")
 def q_parse_period(spark, d):
-    return A.facts(spark, d).select("fact_id", F.col("period_start").cast("string").alias("start"), F.col("period_end").cast("string").alias("end_"), F.col("period_kind").alias("kind"))
+    return with_period(A.raw_facts(spark, d).select("fact_id", "period_raw"), "p").select("fact_id", F.col("p.start").cast("string").alias("start"), F.col("p.end").cast("string").alias("end_"), "p.kind")
 
 
 @query(f"{PAIRS_P} SELECT a.id, {O.relation('a', 'b')} AS relation FROM p a JOIN p_2 b USING (id)")
@@ -301,28 +301,28 @@ _DETAIL = ["fact_id", "doc_id", "page", "fact_type", "subject", "value_raw", "gr
 
 @query(f"{WITH_FACTS} SELECT {DETAIL} FROM raw_facts f JOIN docs d USING (doc_id) WHERE subject ILIKE '%build%' OR predicate ILIKE '%build%' OR source_quote ILIKE '%build%' ORDER BY f.fact_id DESC LIMIT 200")
 def q_facts_search(spark, d):
-    return serve.search_facts(A.facts(spark, d), A.documents(spark, d), q="build").select(_DETAIL)
+    return serve.search_facts(A.raw_facts(spark, d), A.documents(spark, d), q="build").select(_DETAIL)
 
 
 @query(f"{WITH_FACTS} SELECT {DETAIL} FROM raw_facts f JOIN docs d USING (doc_id) WHERE f.doc_id = 2 AND fact_type = 'financial' AND quote_verified AND grounding = 'verbatim' ORDER BY f.fact_id DESC LIMIT 1000")
 def q_facts_filter(spark, d):
-    return serve.search_facts(A.facts(spark, d), A.documents(spark, d), 2, "financial", True, "verbatim", "", 1000).select(_DETAIL)
+    return serve.search_facts(A.raw_facts(spark, d), A.documents(spark, d), 2, "financial", True, "verbatim", "", 1000).select(_DETAIL)
 
 
 @query(f"{WITH_FACTS} SELECT {DETAIL} FROM raw_facts f JOIN docs d USING (doc_id) ORDER BY f.fact_id DESC LIMIT 50 OFFSET 100")
 def q_facts_page(spark, d):
-    return serve.search_facts(A.facts(spark, d), A.documents(spark, d), limit=50, offset=100).select(_DETAIL)
+    return serve.search_facts(A.raw_facts(spark, d), A.documents(spark, d), limit=50, offset=100).select(_DETAIL)
 
 
 @query(f"{WITH_FACTS} SELECT {DETAIL} FROM raw_facts f JOIN docs d USING (doc_id) WHERE fact_id = 42")
 def q_fact_detail(spark, d):
-    return serve.fact_detail(A.facts(spark, d), A.documents(spark, d), 42).select(_DETAIL)
+    return serve.fact_detail(A.raw_facts(spark, d), A.documents(spark, d), 42).select(_DETAIL)
 
 
 @query(f"{WITH_FACTS} SELECT f.fact_id, f.doc_id, d.publisher, d.doc_date FROM raw_facts f JOIN docs d USING (doc_id) JOIN embeddings e ON e.vec_id = f.fact_id WHERE quote_verified AND f.doc_id <> 3")
 def q_verified_facts(spark, d):
     v = _vectors(spark, d).drop("doc_id")
-    return serve.verified_facts(A.facts(spark, d).join(v, "fact_id", "left"), A.documents(spark, d), 3).select("fact_id", "doc_id", "publisher", "doc_date")
+    return serve.verified_facts(A.raw_facts(spark, d).join(v, "fact_id", "left"), A.documents(spark, d), 3).select("fact_id", "doc_id", "publisher", "doc_date")
 
 
 SIDES = "r.fact_a_id, r.fact_b_id, r.relation_type, r.confidence, a.subject AS a_subject, b.subject AS b_subject, b.value_raw AS b_value"
@@ -330,13 +330,13 @@ SIDES = "r.fact_a_id, r.fact_b_id, r.relation_type, r.confidence, a.subject AS a
 
 @query(f"""{WITH_FACTS} SELECT {SIDES} FROM (SELECT * FROM rels WHERE relation_type = 'contradicts' ORDER BY confidence DESC NULLS LAST, fact_a_id DESC, fact_b_id DESC LIMIT 100 OFFSET 10) r LEFT JOIN raw_facts a ON a.fact_id = fact_a_id LEFT JOIN raw_facts b ON b.fact_id = fact_b_id""")
 def q_relations_page(spark, d):
-    rows = serve.list_relations(A.relations(spark, d), A.facts(spark, d), A.documents(spark, d), "contradicts", offset=10)
+    rows = serve.list_relations(A.relations(spark, d), A.raw_facts(spark, d), A.documents(spark, d), "contradicts", offset=10)
     return rows.select("fact_a_id", "fact_b_id", "relation_type", "confidence", F.col("a.subject").alias("a_subject"), F.col("b.subject").alias("b_subject"), F.col("b.value_raw").alias("b_value"))
 
 
 @query(f"{WITH_FACTS} SELECT r.relation_type, CASE WHEN fact_a_id = 154 THEN fact_b_id ELSE fact_a_id END AS other_id, o.subject AS other_subject FROM rels r LEFT JOIN raw_facts o ON o.fact_id = CASE WHEN fact_a_id = 154 THEN fact_b_id ELSE fact_a_id END WHERE fact_a_id = 154 OR fact_b_id = 154")
 def q_fact_relations(spark, d):
-    rows = serve.fact_relations(A.relations(spark, d), A.facts(spark, d), A.documents(spark, d), 154)
+    rows = serve.fact_relations(A.relations(spark, d), A.raw_facts(spark, d), A.documents(spark, d), 154)
     return rows.select("relation_type", "other_id", F.col("other.subject").alias("other_subject"))
 
 
@@ -347,7 +347,7 @@ def q_relations_both_sides(spark, d):
 
 @query(f"{WITH_FACTS} SELECT doc_id, filename, title, (SELECT count(*) FROM raw_facts f WHERE f.doc_id = d.doc_id) AS fact_count, (SELECT count(*) FROM raw_facts f WHERE f.doc_id = d.doc_id AND quote_verified) AS grounded_count FROM docs d")
 def q_documents_overview(spark, d):
-    return serve.documents_overview(A.documents(spark, d), A.facts(spark, d)).select("doc_id", "filename", "title", "fact_count", "grounded_count")
+    return serve.documents_overview(A.documents(spark, d), A.raw_facts(spark, d)).select("doc_id", "filename", "title", "fact_count", "grounded_count")
 
 
 COUNTS = """(SELECT count(*) FROM docs) AS documents, (SELECT count(*) FROM raw_facts) AS facts, (SELECT count(*) FROM raw_facts WHERE quote_verified) AS grounded, (SELECT count(*) FROM raw_facts WHERE NOT quote_verified) AS ungrounded,
@@ -356,12 +356,12 @@ COUNTS = """(SELECT count(*) FROM docs) AS documents, (SELECT count(*) FROM raw_
 
 @query(f"{WITH_FACTS} SELECT {COUNTS}")
 def q_counts(spark, d):
-    return serve.counts(A.documents(spark, d), A.facts(spark, d), A.relations(spark, d))
+    return serve.counts(A.documents(spark, d), A.raw_facts(spark, d), A.relations(spark, d))
 
 
 @query(f"{WITH_FACTS} SELECT true AS ok, false AS llm, {COUNTS}")
 def q_health(spark, d):
-    return serve.health(A.documents(spark, d), A.facts(spark, d), A.relations(spark, d))
+    return serve.health(A.documents(spark, d), A.raw_facts(spark, d), A.relations(spark, d))
 
 
 @query(f"{WITH_FACTS} SELECT relation_type, decided_by, count(*) AS c FROM rels GROUP BY ALL")
@@ -371,13 +371,13 @@ def q_stats_relations(spark, d):
 
 @query(f"{WITH_FACTS} SELECT fact_type, count(*) AS c FROM raw_facts GROUP BY 1 ORDER BY c DESC, fact_type LIMIT 20")
 def q_stats_fact_types(spark, d):
-    return serve.top_fact_types(A.facts(spark, d))
+    return serve.top_fact_types(A.raw_facts(spark, d))
 
 
 @query(f"""{WITH_FACTS}, r AS (SELECT relation_type, decided_by, count(*) AS c FROM rels GROUP BY ALL), t AS (SELECT fact_type, count(*) AS c FROM raw_facts GROUP BY 1 ORDER BY c DESC, fact_type LIMIT 20)
 SELECT {COUNTS}, (SELECT string_agg(relation_type || '/' || decided_by || '=' || c, ',' ORDER BY relation_type, decided_by) FROM r) AS by_relation, (SELECT string_agg(fact_type || '=' || c, ',' ORDER BY fact_type) FROM t) AS by_fact_type""")
 def q_stats(spark, d):
-    s = serve.stats(A.documents(spark, d), A.facts(spark, d), A.relations(spark, d))
+    s = serve.stats(A.documents(spark, d), A.raw_facts(spark, d), A.relations(spark, d))
     named = lambda name, text: F.array_join(F.transform(name, text), ",").alias(name)
     relation = named("by_relation", lambda x: F.concat(x["relation_type"], F.lit("/"), x["decided_by"], F.lit("="), x["c"].cast("string")))
     return s.withColumns({"by_relation": relation, "by_fact_type": named("by_fact_type", lambda x: F.concat(x["fact_type"], F.lit("="), x["c"].cast("string")))})
@@ -401,23 +401,23 @@ fd AS (SELECT f.*, filename, title FROM raw_facts f JOIN docs USING (doc_id))
 SELECT "case", n, concat_ws(chr(10), '  [' || relation_type || '] decided_by=' || decided_by || ' sim=' || printf('%.3f', top.similarity) || ' conf=' || top.confidence, {_SIDE.format(T='A', t='a')}, {_SIDE.format(T='B', t='b')}, '    reasoning: ' || coalesce(explanation, '')) AS text
 FROM top LEFT JOIN fd a ON a.fact_id = fact_a_id LEFT JOIN fd b ON b.fact_id = fact_b_id""")
 def q_report_text(spark, d):
-    return report.shown(serve.with_sides(report.cases(A.relations(spark, d)), A.facts(spark, d), A.documents(spark, d))).select("case", "n", "text")
+    return report.shown(serve.with_sides(report.cases(A.relations(spark, d)), A.raw_facts(spark, d), A.documents(spark, d))).select("case", "n", "text")
 
 
 @query(f"{WITH_FACTS} SELECT fact_id, quote_score, filename FROM raw_facts JOIN docs USING (doc_id) WHERE NOT quote_verified ORDER BY quote_score DESC NULLS LAST, fact_id LIMIT 3")
 def q_rejected_evidence(spark, d):
-    return report.rejected_evidence(A.facts(spark, d), A.documents(spark, d)).select("fact_id", "quote_score", "filename")
+    return report.rejected_evidence(A.raw_facts(spark, d), A.documents(spark, d)).select("fact_id", "quote_score", "filename")
 
 
 @query(f"""{WITH_FACTS} SELECT r.fact_a_id, r.fact_b_id, a.subject AS a_subject, b.subject AS b_subject, r.similarity FROM rels r JOIN raw_facts a ON a.fact_id = r.fact_a_id JOIN docs da ON da.doc_id = a.doc_id JOIN raw_facts b ON b.fact_id = r.fact_b_id JOIN docs db ON db.doc_id = b.doc_id
 WHERE lower(a.subject) = lower(da.publisher) AND lower(a.subject) <> lower(b.subject) ORDER BY r.similarity DESC, r.fact_a_id, r.fact_b_id LIMIT 20""")
 def q_publisher_audit(spark, d):
-    return report.publisher_audit(A.relations(spark, d), A.facts(spark, d), A.documents(spark, d), 20).select("fact_a_id", "fact_b_id", "a_subject", "b_subject", "similarity")
+    return report.publisher_audit(A.relations(spark, d), A.raw_facts(spark, d), A.documents(spark, d), 20).select("fact_a_id", "fact_b_id", "a_subject", "b_subject", "similarity")
 
 
 @query(f"{WITH_FACTS} SELECT doc_id, 'grounding' AS kind, grounding AS name, count(*) AS n FROM raw_facts GROUP BY ALL UNION ALL SELECT f.doc_id, 'relation', relation_type, count(*) FROM rels JOIN raw_facts f ON f.fact_id = fact_a_id GROUP BY ALL")
 def q_batch_counters(spark, d):
-    return report.batch_counters(A.facts(spark, d), A.relations(spark, d))
+    return report.batch_counters(A.raw_facts(spark, d), A.relations(spark, d))
 
 
 # --- from pages to relations --------------------------------------------------------------------------
@@ -509,7 +509,7 @@ def q_skip_ingested(spark, d):
 
 @query(f"{WITH_FACTS} SELECT doc_id, filename FROM docs WHERE doc_id IN (SELECT doc_id FROM raw_facts)")
 def q_drop_empty_docs(spark, d):
-    return store.kept_documents(A.documents(spark, d), A.facts(spark, d)).select("doc_id", "filename")
+    return store.kept_documents(A.documents(spark, d), A.raw_facts(spark, d)).select("doc_id", "filename")
 
 
 @query(f"{WITH_FACTS} SELECT fact_id AS old_id, row_number() OVER (ORDER BY doc_id, page, fact_id) AS fact_id FROM raw_facts")
