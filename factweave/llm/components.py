@@ -22,22 +22,24 @@ def _smallest_neighbour(edges: DataFrame, both_ways: bool, path: str) -> DataFra
     return out.where("u <> v").distinct()
 
 
+def _settled(edges: DataFrame) -> bool:
+    """Whether every node hangs on one root that hangs on none; as v < u, roots are then the smallest nodes."""
+    n, nodes = edges.agg(F.count("*"), F.count_distinct("u")).first()
+    return n == nodes and edges.join(edges.select(F.col("v").alias("u")).distinct(), "u", "left_semi").isEmpty()
+
+
 def components(edges: DataFrame, rounds: int = 50) -> DataFrame:
     """edges (u, v) of one comparable type to (node, root): the smallest node reachable, for each node
     with an edge other than to itself. Each round is written to the shared folder; the one before goes."""
     spark = edges.sparkSession
     home = shared_folder(spark, "components")
     edges = stored(edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), f"{home}/edges-0")
-    seen = None
     for k in range(rounds):
+        if _settled(edges):
+            return edges.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(edges.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
         large = stored(_smallest_neighbour(edges, True, f"{home}/low-{k}-large"), f"{home}/large-{k}")
-        after = stored(_smallest_neighbour(large, False, f"{home}/low-{k}-small"), f"{home}/edges-{k + 1}")
-        now = tuple(after.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
+        edges = stored(_smallest_neighbour(large, False, f"{home}/low-{k}-small"), f"{home}/edges-{k + 1}")
         for old in (f"edges-{k}", f"low-{k}-large", f"large-{k}", f"low-{k}-small"):
             delete(spark, f"{home}/{old}")
         release(spark)
-        edges = after
-        if now == seen or not now[0]:
-            return edges.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(edges.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
-        seen = now
     raise RuntimeError("components didn't settle")

@@ -612,3 +612,18 @@ def test_pipeline(spark, docs):
     none = documents.limit(0)
     for _, stage in c.STAGES:
         assert stage(spark, none, path).count() == 0
+
+
+def test_components(spark):
+    from factweave.llm.components import components
+
+    rng = random.Random(7)
+    for n, m in ((0, 0), (200, 90), (60, 400)):
+        edges = [(rng.randrange(n), rng.randrange(n)) for _ in range(m)] + [(i, i + 1) for i in range(300, 340) if n]
+        root = {x: x for e in edges for x in e}
+        for a, b in edges:
+            low, high = sorted((root[a], root[b]))
+            root = {k: low if v == high else v for k, v in root.items()}
+        linked = {x for a, b in edges if a != b for x in (a, b)}
+        out = components(spark.createDataFrame(edges, "u long, v long")).collect()
+        assert sorted((r.node, r.root) for r in out) == sorted((x, root[x]) for x in linked)
