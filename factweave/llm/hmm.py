@@ -1,10 +1,11 @@
 """Hidden Markov language model over words, trained by Baum-Welch.
 
-Symbols: the TOP commonest training words each have one, all other words fall into RARE classes by
-their ending, the end of a text is one. A state emits a symbol; a word of a class then has
+Symbols: the commonest training words each have one, all other words fall into RARE classes by their ending, the end
+of a text is one. There are TOP own words and GROWTH times the cube root of the texts' bytes more: 3,600 for 0.5 GB,
+8,300 for 30 GB, 95,000 for 100 TB. A state emits a symbol; a word of a class then has
 (c + 1) / (n + v + 1) of it (c: its training count, n and v: tokens and distinct words of the class),
 so every word of any vocabulary has a probability and those of a text's words multiply to the text's.
-The model's size is fixed; the vocabulary's counts are not and never leave the executors.
+The model grows slowly, so that it can be sent to all executors; the vocabulary's counts grow with it all and never leave them.
 
 1. Documents are coded once into chunks (local word numbers, distinct words) in the shared folder.
 2. Distinct words of each chunk go to hashed buckets, which add up all training counts and send
@@ -35,14 +36,14 @@ from .shared import written
 from .substrings import pack, pack_rising, unpack, unpack_rising
 from .words import SPACES, U64, Words, chunked, word_hashes
 
-TOP, RARE, STATES = 2048, 1024, 8
-END = TOP + RARE
-SYMBOLS = END + 1
+TOP, GROWTH, RARE, STATES = 2048, 2, 1024, 8
+#: Symbols: the end, the classes, the words that have one of their own.
+END, CLASS, OWN = 0, 1, 1 + RARE
 CHUNK = 6 << 20
 PIECE = 1 << 20  # tokens whose forward vectors are held at once
 BUCKET = 4 << 20
 CODED = "chunk string, ids array<string>, n binary, held binary, local binary, words binary, classes binary, counts binary"
-COUNTED = "kind string, chunk string, bucket int, n long, counts binary, class_n array<long>, class_v array<long>, top array<struct<word:long,count:long>>"
+COUNTED = "kind string, chunk string, bucket int, n long, counts binary, class_n array<long>, class_v array<long>, top array<struct<word:long,count:long,class:long>>"
 
 
 def coded(docs: list[tuple]) -> dict:
@@ -91,33 +92,37 @@ def _by_bucket(bits: int):
     return run
 
 
-_COUNTED = pa.schema([("kind", pa.string()), ("chunk", pa.string()), ("bucket", pa.int32()), ("n", pa.int64()), ("counts", pa.binary()), ("class_n", pa.list_(pa.int64())), ("class_v", pa.list_(pa.int64())), ("top", pa.list_(pa.struct([("word", pa.int64()), ("count", pa.int64())])))])
+_COUNTED = pa.schema([("kind", pa.string()), ("chunk", pa.string()), ("bucket", pa.int32()), ("n", pa.int64()), ("counts", pa.binary()), ("class_n", pa.list_(pa.int64())), ("class_v", pa.list_(pa.int64())), ("top", pa.list_(pa.struct([("word", pa.int64()), ("count", pa.int64()), ("class", pa.int64())])))])
 
 
-def _count(group: pa.Table) -> pa.Table:
+def _count(own_words: int):
     """A bucket's training counts, told to each chunk; sums by class; its commonest words."""
-    rows = group.to_pylist()
-    parts = [unpack_rising(r["words"], "u8") for r in rows]
-    own = np.concatenate(parts)
-    counts = np.concatenate([unpack(r["counts"], "u4") for r in rows]).astype(np.float64)
-    words, where = np.unique(own, return_inverse=True)
-    total = np.bincount(where, counts).astype(np.int64)
-    classes = np.zeros(len(words), np.int64)
-    classes[where] = np.concatenate([unpack(r["classes"], "u2") for r in rows])
-    out, at = [], 0
-    for r, p in zip(rows, parts, strict=True):
-        out.append({"kind": "reply", "chunk": r["chunk"], "bucket": r["bucket"], "n": len(p), "counts": pack(total[where[at : at + len(p)]].astype(np.uint64))})
-        at += len(p)
-    seen = total > 0
-    most = np.lexsort((words.view(np.int64), -total))[:TOP]  # ties in the same order as among buckets
-    top = [{"word": int(w), "count": int(c)} for w, c in zip(words[most].view(np.int64), total[most], strict=True) if c]
-    out.append({"kind": "sums", "n": int(total.sum()), "class_n": np.bincount(classes, total, RARE).astype(np.int64).tolist(), "class_v": np.bincount(classes[seen], minlength=RARE).tolist(), "top": top})
-    return pa.Table.from_pylist(out, _COUNTED)
+
+    def run(group: pa.Table) -> pa.Table:
+        rows = group.to_pylist()
+        parts = [unpack_rising(r["words"], "u8") for r in rows]
+        own = np.concatenate(parts)
+        counts = np.concatenate([unpack(r["counts"], "u4") for r in rows]).astype(np.float64)
+        words, where = np.unique(own, return_inverse=True)
+        total = np.bincount(where, counts).astype(np.int64)
+        classes = np.zeros(len(words), np.int64)
+        classes[where] = np.concatenate([unpack(r["classes"], "u2") for r in rows])
+        out, at = [], 0
+        for r, p in zip(rows, parts, strict=True):
+            out.append({"kind": "reply", "chunk": r["chunk"], "bucket": r["bucket"], "n": len(p), "counts": pack(total[where[at : at + len(p)]].astype(np.uint64))})
+            at += len(p)
+        seen = total > 0
+        most = np.lexsort((words.view(np.int64), -total))[:own_words]  # ties in the same order as among buckets
+        top = [{"word": w, "count": c, "class": k} for w, c, k in zip(words[most].view(np.int64).tolist(), total[most].tolist(), classes[most].tolist(), strict=True) if c]
+        out.append({"kind": "sums", "n": int(total.sum()), "class_n": np.bincount(classes, total, RARE).astype(np.int64).tolist(), "class_v": np.bincount(classes[seen], minlength=RARE).tolist(), "top": top})
+        return pa.Table.from_pylist(out, _COUNTED)
+
+    return run
 
 
 @dataclass
 class Model:
-    """Fixed-size parameters. top: fingerprints (sorted) and counts of the commonest words."""
+    """top: fingerprints (sorted) and counts of the words with symbols of their own."""
 
     top: np.ndarray
     top_counts: np.ndarray
@@ -132,40 +137,43 @@ class Model:
 
     def symbols(self, words: np.ndarray, classes: np.ndarray) -> np.ndarray:
         """Symbols of distinct words."""
-        out = TOP + classes.astype(np.int64)
+        out = CLASS + classes.astype(np.int64)
         if len(self.top):
             slot = np.minimum(np.searchsorted(self.top, words), len(self.top) - 1)
-            out = np.where(self.top[slot] == words, slot, out)
+            out = np.where(self.top[slot] == words, OWN + slot, out)
         return out
 
     def in_class(self, symbols: np.ndarray, counts: np.ndarray) -> np.ndarray:
         """log10 of a word's share of its symbol."""
-        c = np.maximum(symbols - TOP, 0)
+        c = np.clip(symbols - CLASS, 0, RARE - 1)
         share = np.log10((counts + 1) / (self.class_n[c] + self.class_v[c] + 1))
-        return np.where(symbols < TOP, 0.0, share)
-
-
-def first_model(sums: DataFrame, ends: int) -> Model:
-    top = sums.select(F.explode("top").alias("t")).select("t.word", "t.count").orderBy(F.desc("count"), "word").limit(TOP).collect()
+        return np.where(symbols >= OWN, 0.0, share)
+
+
+def first_model(sums: DataFrame, ends: int, own_words: int) -> Model:
+    tops = sums.select(F.explode("top").alias("t")).select("t.*")
+    # Counts that too few words reach to matter go first, so that not each partition sends its own_words rows to be merged.
+    least, reached = 0, 0
+    for r in tops.groupBy("count").agg(F.count("*").alias("n")).orderBy(F.desc("count")).limit(own_words).collect():
+        least, reached = r["count"], reached + r.n
+        if reached >= own_words:
+            break
+    top = tops.where(F.col("count") >= least).orderBy(F.desc("count"), "word").limit(own_words).collect()
     by_class = {r[0]: (r[1], r[2]) for r in sums.select(F.posexplode(F.arrays_zip("class_n", "class_v")).alias("c", "x")).groupBy("c").agg(F.sum("x.class_n"), F.sum("x.class_v")).collect()}
     n, v = (np.array([by_class.get(c, (0, 0))[i] for c in range(RARE)], np.float64) for i in (0, 1))
-    words, counts = np.array([r.word for r in top], np.int64).view(U64), np.array([r["count"] for r in top], np.int64)
-    order = np.argsort(words)
+    words, counts, classes = (np.array([r[c] for r in top], np.int64) for c in ("word", "count", "class"))
+    order = np.argsort(words.view(U64))
     tokens, distinct = int(n.sum()) + ends, int(v.sum()) + (ends > 0)
-    model = Model(words[order], counts[order], n, v, tokens, distinct, ends, np.full(STATES, 1 / STATES), np.full((STATES, STATES), 0.1 / (STATES - 1)), np.zeros((STATES, SYMBOLS)))
-    np.fill_diagonal(model.moves, 0.9)
-    return model
-
-
-def without_top(model: Model, classes: np.ndarray) -> None:
-    """Take the top words out of their classes."""
-    np.subtract.at(model.class_n, classes, model.top_counts)
-    np.subtract.at(model.class_v, classes, 1)
-    unigram = np.concatenate([model.top_counts, np.zeros(TOP - len(model.top)), model.class_n, [model.ends]]) + 0.1
-    jitter = np.exp(0.7 * np.random.default_rng(7).standard_normal((STATES, SYMBOLS)))
+    # The words with own symbols leave their classes.
+    np.subtract.at(n, classes, counts)
+    np.subtract.at(v, classes, 1)
+    unigram = np.concatenate([[ends], n, counts[order]]) + 0.1
+    jitter = np.exp(0.7 * np.random.default_rng(7).standard_normal((STATES, len(unigram))))
     jitter[:, END] = 1
-    model.emits = unigram * jitter
-    model.emits /= model.emits.sum(1, keepdims=True)
+    emits = unigram * jitter
+    moves = np.full((STATES, STATES), 0.1 / (STATES - 1))
+    np.fill_diagonal(moves, 0.9)
+    return Model(words.view(U64)[order], counts[order], n, v, tokens, distinct, ends, np.full(STATES, 1 / STATES), moves, emits / emits.sum(1, keepdims=True))
 
 
 def sequence(row: dict, model: Model) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -225,7 +233,7 @@ def expected(symbols: np.ndarray, offsets: np.ndarray, model: Model) -> np.ndarr
     for first, last in pieces[:-1]:
         alpha, _ = steps.forward(first, last, heads[-1], start, moves, table)
         heads.append(alpha[steps.starts[last - 1] - steps.starts[first] :].copy())
-    begin, pairs, emits, logs = np.zeros(STATES), np.zeros((STATES, STATES)), np.zeros((STATES, SYMBOLS)), 0.0
+    begin, pairs, emits, logs = np.zeros(STATES), np.zeros((STATES, STATES)), np.zeros(model.emits.shape), 0.0
     ahead_of = np.zeros((0, STATES), np.float32)  # of the step after a piece
     for (first, last), head in zip(pieces[::-1], heads[::-1], strict=True):
         low, high = steps.starts[first], steps.starts[last]
@@ -248,18 +256,15 @@ def expected(symbols: np.ndarray, offsets: np.ndarray, model: Model) -> np.ndarr
         beta /= beta.sum(1, keepdims=True)
         if head is None:
             begin += beta[: edges[1]].sum(0)
-        emits += [np.bincount(code, beta[:, k], SYMBOLS) for k in range(STATES)]
+        emits += [np.bincount(code, beta[:, k], emits.shape[1]) for k in range(STATES)]
         logs += np.log(scales.astype(np.float64)).sum()
         ahead_of = ahead_of.copy()
     return np.concatenate([begin, (pairs * model.moves).ravel(), emits.ravel(), [logs]])
 
 
-VECTOR = STATES + STATES * STATES + STATES * SYMBOLS + 1
-
-
 def _expect(model):
     def run(batches):
-        total = np.zeros(VECTOR)
+        total = np.zeros(STATES + STATES * STATES + model.value.emits.size + 1)
         for b in batches:
             for row in b.to_pylist():
                 symbols, offsets, _ = sequence(row, model.value)
@@ -273,18 +278,19 @@ def _expect(model):
 
 
 def _add(batches):
-    total = np.zeros(VECTOR)
+    total = None
     for b in batches:
         for v in b["v"].to_pylist():
-            total += np.frombuffer(v)
-    yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary())], names=["v"])
+            total = np.frombuffer(v) if total is None else total + np.frombuffer(v)
+    if total is not None:
+        yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary())], names=["v"])
 
 
 def reestimated(model: Model, v: np.ndarray) -> Model:
-    cuts = np.cumsum([STATES, STATES * STATES, STATES * SYMBOLS])
+    cuts = np.cumsum([STATES, STATES * STATES, model.emits.size])
     start, moves, emits, _ = np.split(v, cuts)
     norm = lambda x, eps: (x + eps) / (x + eps).sum(-1, keepdims=True)
-    return Model(**(model.__dict__ | {"start": norm(start, 0.1), "moves": norm(moves.reshape(STATES, STATES), 0.1), "emits": norm(emits.reshape(STATES, SYMBOLS), 0.02)}))
+    return Model(**(model.__dict__ | {"start": norm(start, 0.1), "moves": norm(moves.reshape(STATES, STATES), 0.1), "emits": norm(emits.reshape(model.emits.shape), 0.02)}))
 
 
 def log10_likelihood(symbols: np.ndarray, offsets: np.ndarray, model: Model) -> np.ndarray:
@@ -332,32 +338,16 @@ def _scored(ids, held, n, known, m, base, score) -> pa.Table:
     return pa.table([pa.array(x, t) for x, t in columns], names=[x.split()[0] for x in SCORES.split(", ")])
 
 
-def _top_classes(top: set):
-    """(word, class) of the top words that a chunk holds."""
-
-    def run(batches):
-        wanted = np.array(sorted(top.value), U64)
-        for b in batches:
-            for r in b.to_pylist():
-                words = unpack_rising(r["words"], "u8")
-                on = np.isin(words, wanted)
-                yield pa.RecordBatch.from_arrays([pa.array(words[on].view(np.int64)), pa.array(unpack(r["classes"], "u2")[on].astype(np.int64))], names=["word", "class"])
-
-    return run
-
-
 def train(coded_docs: DataFrame, rounds: int, size: int) -> tuple[Model, DataFrame]:
     """The model, and (chunk, bucket, reply) with the counts of the chunks' words. coded_docs: written."""
     spark = coded_docs.sparkSession
     sc = spark.sparkContext
+    own_words = TOP + round(GROWTH * size ** (1 / 3))
     bits = max(0, math.ceil(math.log2(max(1, size / BUCKET))))
     parts = coded_docs.select("chunk", "words", "counts", "classes").mapInArrow(_by_bucket(bits), "bucket int, chunk string, words binary, counts binary, classes binary")
-    counted = written(parts.groupBy("bucket").applyInArrow(_count, COUNTED), "counts")
+    counted = written(parts.groupBy("bucket").applyInArrow(_count(own_words), COUNTED), "counts")
     ends = coded_docs.select(F.expr("size(ids) - (length(hex(held)) - length(replace(hex(held), '01', ''))) div 2").alias("n")).agg(F.sum("n")).first()[0] or 0
-    model = first_model(counted.where("kind = 'sums'"), ends)
-    top = sc.broadcast(model.top)
-    classes = dict(map(tuple, coded_docs.select("words", "classes").mapInArrow(_top_classes(top), "word long, class long").groupBy("word").agg(F.min("class")).collect()))
-    without_top(model, np.array([classes[w] for w in model.top.view(np.int64).tolist()], np.int64))
+    model = first_model(counted.where("kind = 'sums'"), ends, own_words)
     for _ in range(rounds):
         sent = sc.broadcast(model)
         sums = coded_docs.select("n", "held", "local", "words", "classes").mapInArrow(_expect(sent), "v binary").repartition(16).mapInArrow(_add, "v binary").collect()

@@ -361,7 +361,7 @@ def random_model(rng):
     import numpy as np
 
     norm = lambda x: x / x.sum(-1, keepdims=True)
-    s, v = hmm.STATES, hmm.SYMBOLS
+    s, v = hmm.STATES, hmm.OWN
     return hmm.Model(np.zeros(0, np.uint64), np.zeros(0, int), np.zeros(hmm.RARE), np.zeros(hmm.RARE), 1, 1, 1, norm(rng.random(s)), norm(rng.random((s, s))), norm(rng.random((s, v))))
 
 
@@ -369,7 +369,7 @@ def plain_counts(texts, m):
     """Baum-Welch expected counts by the textbook recursions, each text as one sequence."""
     import numpy as np
 
-    begin, moves, emits, logs = np.zeros(hmm.STATES), np.zeros((hmm.STATES, hmm.STATES)), np.zeros((hmm.STATES, hmm.SYMBOLS)), 0.0
+    begin, moves, emits, logs = np.zeros(hmm.STATES), np.zeros((hmm.STATES, hmm.STATES)), np.zeros(m.emits.shape), 0.0
     for t in texts:
         alpha, scale = [], []
         for i, x in enumerate(t):
@@ -396,7 +396,7 @@ def test_hmm_trains_on_whole_texts(monkeypatch, piece):
     monkeypatch.setattr(hmm, "PIECE", piece)
     rng = np.random.default_rng(1)
     m = random_model(rng)
-    texts = [rng.integers(0, hmm.SYMBOLS, n) for n in (1, 300, 65, 64, 1, 129, 3)]
+    texts = [rng.integers(0, hmm.OWN, n) for n in (1, 300, 65, 64, 1, 129, 3)]
     offsets = np.concatenate([[0], np.cumsum([len(t) for t in texts])])
     got_, plain = hmm.expected(np.concatenate(texts), offsets, m), plain_counts(texts, m)
     assert got_ == pytest.approx(plain, rel=2e-3, abs=1e-5)
@@ -410,7 +410,9 @@ def test_hmm_score_of_a_table(spark):
 
     rng = random.Random(8)
     texts = [(f"d{i}", " ".join(rng.choices([f"W{k}{'abc'[k % 3]}" for k in range(4000)], [1 / (k + 100) for k in range(4000)], k=rng.choice([0, 5, 600])))) for i in range(40)]
-    assert len({w for _, t in texts for w in t.split()}) > hmm.TOP + 100
+    own_words = hmm.TOP + round(hmm.GROWTH * sum(len(t) for _, t in texts) ** (1 / 3))
+    assert len({w for _, t in texts for w in t.split()}) > own_words + 100
+    assert own_words > hmm.TOP + 50
     held = [zlib.crc32(d.encode()) % 7 == 2 for d, _ in texts]
     chunk = hmm.coded([(d, h, t.encode()) for (d, t), h in zip(texts, held, strict=True)])
     from factweave.llm.words import word_hashes
@@ -420,7 +422,7 @@ def test_hmm_score_of_a_table(spark):
     cls = {w: (ord(w[-1]) * 31 + (ord(w[-2]) if len(w) > 1 else 0) * 37) % hmm.RARE for w in words}
     count = {w: sum(brute.lower(t).split().count(w) for (_, t), h in zip(texts, held, strict=True) if not h) for w in words}
     signed = lambda w: number[w] - (1 << 64) if number[w] >> 63 else number[w]
-    top = sorted((w for w in words if count[w]), key=lambda w: (-count[w], signed(w)))[: hmm.TOP]
+    top = sorted((w for w in words if count[w]), key=lambda w: (-count[w], signed(w)))[:own_words]
     top.sort(key=number.get)
     taken = set(top)
     rare = [w for w in words if w not in taken and count[w]]
@@ -428,12 +430,12 @@ def test_hmm_score_of_a_table(spark):
     for w in rare:
         n[cls[w]] += count[w]
         v[cls[w]] += 1
-    place = {w: i for i, w in enumerate(top)}
-    symbol = {w: place.get(w, hmm.TOP + cls[w]) for w in words}
-    m = hmm.Model(np.array([number[w] for w in top], np.uint64), np.array([count[w] for w in top]), n.copy(), v.copy(), 0, 0, held.count(False), np.full(hmm.STATES, 1 / hmm.STATES), np.full((hmm.STATES, hmm.STATES), 0.1 / (hmm.STATES - 1)), np.zeros((hmm.STATES, hmm.SYMBOLS)))
+    place = {w: hmm.OWN + i for i, w in enumerate(top)}
+    symbol = {w: place.get(w, hmm.CLASS + cls[w]) for w in words}
+    m = hmm.Model(np.array([number[w] for w in top], np.uint64), np.array([count[w] for w in top]), n.copy(), v.copy(), 0, 0, held.count(False), np.full(hmm.STATES, 1 / hmm.STATES), np.full((hmm.STATES, hmm.STATES), 0.1 / (hmm.STATES - 1)), np.zeros((hmm.STATES, hmm.OWN + len(top))))
     np.fill_diagonal(m.moves, 0.9)
-    unigram = np.concatenate([m.top_counts, n, [m.ends]]) + 0.1
-    jitter = np.exp(0.7 * np.random.default_rng(7).standard_normal((hmm.STATES, hmm.SYMBOLS)))
+    unigram = np.concatenate([[m.ends], n, m.top_counts]) + 0.1
+    jitter = np.exp(0.7 * np.random.default_rng(7).standard_normal(m.emits.shape))
     jitter[:, hmm.END] = 1
     m.emits = unigram * jitter / (unigram * jitter).sum(1, keepdims=True)
     codes = [np.array([*(symbol[w] for w in brute.lower(t).split()), hmm.END]) for _, t in texts]
