@@ -5,7 +5,9 @@ prefixes of its path at the lengths that rules' paths have. Expressions meet rul
 SHORT hex digits of their SHA-256; candidates are confirmed by the full digest, and of the
 confirmed rules the longest wins (equally long: the longer host, then block before allow).
 
-The rule table is read as it is; Spark broadcasts it only below its own size threshold.
+The rule table is read as it is; Spark broadcasts it only below its own size threshold. Beyond, an expression that very
+many URLs have (com with an empty path, or a common host) would be one key: URLs fall into SALTS parts by their
+hash, each of which meets its own copy of the rules.
 
 Edge cases: a null url or one without :// has an empty host and path, no rule fits it and it gets the
 default verdict; repeated rules count once.
@@ -17,6 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 SHORT = 8  # hex digits: 32 bits
+SALTS = 16  # copies of the rules; the URLs of one expression are dealt over as many keys
 
 #: The rules as (verdict, host, path).
 RULES = [
@@ -51,7 +54,9 @@ def judge_urls(pages: DataFrame, rules: DataFrame, url: str = "url", default: st
     urls = urls.join(F.broadcast(lengths)).withColumn("hosts", F.array_distinct(suffixes)).withColumn("cuts", F.expr("filter(lengths, n -> n <= length(p))"))
     words = urls.select("__url", F.explode("hosts").alias("host"), "cuts", "p").select("__url", "host", F.explode("cuts").alias("n"), "p")
     words = words.withColumn("digest", F.sha2(F.concat("host", F.lit("\n"), F.expr("substring(p, 1, n)")), 256)).select("__url", F.substring("digest", 1, SHORT).alias("short"), F.col("digest").alias("own"))
-    found = words.join(rules, "short").where("own = digest")
+    words = words.withColumn("salt", F.pmod(F.xxhash64("__url"), F.lit(SALTS)).cast("int"))
+    salted = rules.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    found = words.join(salted, ["short", "salt"]).where("own = digest")
     best = F.max(F.struct((F.length("rule_host") + F.length("rule_path")).alias("n"), F.length("rule_host").alias("m"), "verdict", "rule_host", "rule_path"))
     best = found.groupBy("__url").agg(best.alias("__best"))
     host, path = url_parts(F.col(url))

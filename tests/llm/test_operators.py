@@ -315,6 +315,27 @@ def test_urls(spark):
     assert urls.judge_urls(pages, rules.limit(0)).where("verdict = 'allow'").count() == 2 * len(cases)
 
 
+def test_urls_of_a_common_host(spark):
+    """Without broadcast: one host has nearly all URLs, many rules share the empty path, some are repeated."""
+    rows_ = [(i, f"http://w{i % 3}.example.com/en/{i}" if i % 9 else f"http://h{i}.org/{i}") for i in range(3000)]
+    made = [("block", "com", ""), ("block", "com", ""), *[("allow" if i % 2 else "block", "example.com", f"/en/{i}") for i in range(40)], *[("block", f"h{i}.org", "") for i in range(0, 3000, 18)]]
+    rules = spark.createDataFrame(made, "verdict string, host string, path string")
+
+    def expected(url):
+        host, path = url[7:].split("/", 1)
+        fits = [(len(h) + len(p), len(h), v, h + p) for v, h, p in made if ("." + host).endswith("." + h) and ("/" + path).startswith(p)]
+        return max(fits)[2:] if fits else ("allow", None)
+
+    key = "spark.sql.autoBroadcastJoinThreshold"
+    usual = spark.conf.get(key)
+    spark.conf.set(key, "-1")
+    try:
+        out = urls.judge_urls(spark.createDataFrame(rows_, "page_id long, url string"), rules).collect()
+    finally:
+        spark.conf.set(key, usual)
+    assert {r.page_id: (r.verdict, r.rule) for r in out} == {i: expected(u) for i, u in rows_} and len(out) == len(rows_)
+
+
 def test_warc_round_trip(spark):
     big = "z" * 100 + "é" * 60000
     noise = "".join(chr(random.Random(1).randrange(0x20, 0x2FFF)) for _ in range(100)) * 400
