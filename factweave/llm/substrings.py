@@ -1,8 +1,8 @@
 """Substring deduplication with a log-structured fingerprint index.
 
 The index is a set of immutable runs. A run holds, by bucket (the top bits of a fingerprint),
-the sorted fingerprints of the word windows of the documents that it took in, one file for each
-bucket, which the bucket's task reads from where it lies (runs never travel). A new batch of documents
+the sorted fingerprints of the word windows of the documents that it took in. Neighbouring buckets share a slot, which is
+one file with a row group for each bucket (small ones share it); a bucket's task reads its own from where it lies (runs never travel). A new batch of documents
 is split into chunks; each chunk sends, once for each distinct window, a fingerprint to its bucket.
 There the batch is sorted, merge-joined with the runs, and each window that history holds, or that
 a smaller doc_id of the batch holds, is reported back to its chunk. The bucket's new fingerprints
@@ -43,6 +43,9 @@ from .words import SPACES, U64, Words, chunked, covered, gram_values
 
 CHUNK = 4 << 20
 BUCKET = 4 << 20  # bytes of text whose windows share a bucket, about
+SLOT_BITS = 4  # a slot holds so many buckets, as a power of 2 ...
+SLOTS_BITS = 5  # ... as far as this power of slots is left
+ROW_GROUP = 1 << 20  # bytes, from which a file's next row begins a row group; a larger row has its own
 SECOND = 0xC2B2AE3D27D4EB4F
 LAST = (1 << 63) - 1  # a null doc_id
 ROWS = "kind string, bucket int, chunk string, n long, a binary, b binary, c binary, d binary"
@@ -132,12 +135,12 @@ def _merge_join(a: np.ndarray, b: np.ndarray, x: np.ndarray, y: np.ndarray) -> n
     return held
 
 
-def _stored(runs: list[str], bucket: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+def _stored(runs: list[str], slot: int, bucket: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """The bucket's part of each run, read from where it lies."""
     for run in runs:
-        store, path = fs.FileSystem.from_uri(re.sub(r"^file:/+", "file:///", f"{run}/kind=run/slot={bucket}"))
+        store, path = fs.FileSystem.from_uri(re.sub(r"^file:/+", "file:///", f"{run}/slot={slot}"))
         if store.get_file_info(path).type == fs.FileType.Directory:
-            for row in ds.dataset(path, filesystem=store, format="parquet").to_table(columns=["a", "b"]).to_pylist():
+            for row in ds.dataset(path, filesystem=store, format="parquet").to_table(columns=["a", "b"], filter=ds.field("bucket") == bucket).to_pylist():
                 yield unpack_rising(row["a"], "u8"), unpack(row["b"], "u4")
 
 
@@ -146,9 +149,10 @@ def _merge(stored: list[str], whole: bool):
     whole: the bucket's new run takes in the stored ones."""
 
     def run(group):
-        rows = group.to_pylist()
+        slot = group["slot"][0].as_py()
+        rows = group.drop_columns("slot").to_pylist()
         news = [r for r in rows if r["kind"] == "new"]
-        runs = list(_stored(stored, rows[0]["bucket"]))
+        runs = list(_stored(stored, slot, rows[0]["bucket"]))
         out = [tuple(r.values()) for r in rows if r["kind"] == "doc"]
         if news:
             one, two, doc = (np.concatenate(x) for x in zip(*map(_windows, news), strict=True))
@@ -228,6 +232,7 @@ class FingerprintIndex:
     def __init__(self, spark: SparkSession, path: str, window: int = 13, buckets: int = 256, fanout: int = 3):
         self.spark, self.path, self.window, self.fanout = spark, path, window, fanout
         self.bits = max(0, math.ceil(math.log2(max(1, buckets))))
+        self.shared_bits = max(0, min(SLOT_BITS, self.bits - SLOTS_BITS))
         self.runs: list[str] = []
         self.batches = 0
 
@@ -241,12 +246,15 @@ class FingerprintIndex:
             every = self.spark.range(1 << self.bits).select(F.lit("all").alias("kind"), F.col("id").cast("int").alias("bucket"))
             fresh = fresh.unionByName(every, allowMissingColumns=True)
         out = f"{self.path}/batch-{self.batches:05d}"
-        slot = F.when(F.col("kind") == "run", F.col("bucket")).otherwise(-1)
-        fresh.groupBy("bucket").applyInArrow(_merge(self.runs, whole), ROWS).withColumn("slot", slot).write.partitionBy("kind", "slot").parquet(out)
+        slot = F.shiftright("bucket", self.shared_bits)
+        # A slot's buckets are one task's, group after group, so that a run has one file for each slot.
+        merged = fresh.withColumn("slot", slot).repartition("slot").groupBy("slot", "bucket").applyInArrow(_merge(self.runs, whole), ROWS)
+        kept = merged.withColumn("slot", F.when(F.col("kind") == "run", slot).otherwise(-1))
+        kept.write.option("parquet.block.size", ROW_GROUP).option("parquet.page.size.row.check.min", 1).partitionBy("slot").parquet(out)
         stale, self.runs = (self.runs, [out]) if whole else ([], [*self.runs, out])
         flags = f"{self.path}/flags-{self.batches:05d}"
         # Several chunks can hold equal (doc_id, text) rows; which of them speaks makes no difference.
-        self.spark.read.schema(f"{ROWS}, slot int").parquet(out).where("kind <> 'run'").groupBy("chunk").applyInArrow(_by_document, "id long, key long, windows binary").write.parquet(flags)
+        self.spark.read.schema(f"{ROWS}, slot int").parquet(out).where("slot = -1").groupBy("chunk").applyInArrow(_by_document, "id long, key long, windows binary").write.parquet(flags)
         for s in stale:
             delete(self.spark, s)
         self.batches += 1

@@ -101,6 +101,23 @@ def test_substrings(docs, empty):
     assert f(empty).count() == 0
 
 
+def test_substrings_in_shared_files(spark, docs, tmp_path, monkeypatch):
+    """Over 100 buckets: a run has a file for several of them, before and after merging, and each finds its own there."""
+    monkeypatch.setattr(substrings, "BUCKET", 7000)
+    monkeypatch.setattr(substrings, "shared_folder", lambda *_: f"file://{tmp_path}/index")
+    runs = []
+    add = substrings.FingerprintIndex.add
+    monkeypatch.setattr(substrings.FingerprintIndex, "add", lambda self, part: (add(self, part), runs.append((1 << self.bits, list(self.runs))))[0])
+    out = substrings.deduplicate(docs, batches=5, fanout=2).select("doc_id", "dedup.n_words", "dedup.n_removed", F.sha2(F.coalesce("dedup.kept", F.lit("")).cast("binary"), 256))
+    same(out, brute.op10(DOCS))
+    buckets, (last,) = runs[-1]
+    held = spark.read.parquet(last).where("kind = 'run'")
+    assert buckets > 100
+    assert held.select("bucket").distinct().count() == held.count() == buckets
+    files = held.select("bucket", F.input_file_name().alias("f")).distinct()
+    assert files.count() == buckets and files.select("f").distinct().count() <= 32
+
+
 def test_simhash(spark, docs, empty):
     near = " ".join(f"n{i}" for i in range(400))
     more = [(200 + i, near.replace(f"n{7 * i + 1} ", "changed ")) for i in range(12)]
