@@ -248,7 +248,7 @@ class FingerprintIndex:
         out = f"{self.path}/batch-{self.batches:05d}"
         slot = F.shiftright("bucket", self.shared_bits)
         # A slot's buckets are one task's, group after group, so that a run has one file for each slot.
-        merged = fresh.withColumn("slot", slot).repartition("slot").groupBy("slot", "bucket").applyInArrow(_merge(self.runs, whole), ROWS)
+        merged = fresh.withColumn("slot", slot).repartitionById(1 << self.bits - self.shared_bits, "slot").groupBy("slot", "bucket").applyInArrow(_merge(self.runs, whole), ROWS)
         kept = merged.withColumn("slot", F.when(F.col("kind") == "run", slot).otherwise(-1))
         kept.write.option("parquet.block.size", ROW_GROUP).option("parquet.page.size.row.check.min", 1).partitionBy("slot").parquet(out)
         stale, self.runs = (self.runs, [out]) if whole else ([], [*self.runs, out])
